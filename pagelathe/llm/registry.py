@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module that holds the function of that name (and ORACLE, if SQL can express it).
 _WHERE = {
+    "op1_pack": "packing",
     "op2_near_dup": "near_dup",
+    "op3_exact_dup": "exact_dup",
+    "op4_pii": "pii",
+    "op5_langid": "langid",
+    "op6_mix": "mixing",
+    "op7_warc": "warc_zip",
+    "op8_quality": "quality",
+    "op9_token_count": "token_count",
+    "op10_bm25": "bm25",
 }
 
 
