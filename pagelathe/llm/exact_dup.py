@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.scratch import BROADCAST_ROWS, by_ids, discard, written
+from pagelathe.llm.scratch import BROADCAST_ROWS, by_ids, discard, sized, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,8 +21,8 @@ def normal(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS // 4 else df
+#: A table of hashes is broadcast up to so many rows.
+HASH_ROWS = BROADCAST_ROWS // 4
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -37,7 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashed = written(rows.select("id", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "hashes")
     several = written(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "several")
     n_several = several.count()
-    copies = rows.select("id", "norm", F.unhex(F.md5("norm")).alias("h")).join(_sized(several.withColumnRenamed("h", "__h"), n_several), F.col("h") == F.col("__h"), "left_semi")
+    copies = rows.select("id", "norm", F.unhex(F.md5("norm")).alias("h")).join(sized(several.withColumnRenamed("h", "__h"), n_several, HASH_ROWS), F.col("h") == F.col("__h"), "left_semi")
     # one row for each distinct text among them; variants > 1 only where different bytes share a hash
     classes = copies.groupBy("h", "norm").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = classes.groupBy("h").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("variants"))
@@ -48,10 +48,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = hashed
     n_collided = collided.count()
     if n_collided:
-        out = hashed.join(_sized(collided, n_collided), "h", "left_anti")
-    out = out.join(_sized(plain, n_several), "h", "left").select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
+        out = hashed.join(sized(collided, n_collided, HASH_ROWS), "h", "left_anti")
+    out = out.join(sized(plain, n_several, HASH_ROWS), "h", "left").select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
     if n_collided:
-        split = copies.join(_sized(collided, n_collided), "h", "left_semi")
+        split = copies.join(sized(collided, n_collided, HASH_ROWS), "h", "left_semi")
         by_text = split.groupBy("h", "norm").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size"))
         out = out.unionByName(split.join(by_text, ["h", "norm"]).select("id", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256")))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

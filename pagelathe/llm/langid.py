@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pagelathe.llm.scratch import by_ids, written
-
 #: What a language is learned from: so many labelled texts, those with the smallest hashes of their ids, of at most
 #: SAMPLE_CHARS each, joined up to DICT_BYTES. These bound the fit; predictions read whole texts.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES = 128, 20_000, 64 * 1024
@@ -73,6 +71,9 @@ class Classifier:
         margin = sorted(sizes)[1] - least if len(sizes) > 1 else len(text)
         return self.langs[sizes.index(least)], 1.0 / sum(2.0 ** -min(s - least, 60) for s in sizes), margin
 
+    def rejected(self, found: tuple[str, float, int], margin: int) -> bool:
+        return found[0] == UNKNOWN or (len(self.langs) > 1 and found[2] < margin)
+
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: int = MARGIN) -> DataFrame:
     """Per row: id, lang_pred, score, margin, rejected.
@@ -89,7 +90,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
         for batch in batches:
             found = [own.predict(t.as_py()) for t in batch.column(1)]
             lang, score, width = zip(*found, strict=True) if found else ((), (), ())
-            reject = [a == UNKNOWN or (len(own.langs) > 1 and w < margin) for a, w in zip(lang, width, strict=True)]
+            reject = [own.rejected(x, margin) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(width, pa.int64()), pa.array(reject, pa.bool_())], [id_col, "lang_pred", "score", "margin", "rejected"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, margin long, rejected boolean")
@@ -100,18 +101,18 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def drop_unidentified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, whose language is not rejected.
+def drop_unidentified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: int = MARGIN) -> DataFrame:
+    """The rows of docs, all columns, whose language is not rejected; each row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(labelled, id_col, text_col, lang_col))
+    at = docs.columns.index(text_col)
 
-    Rejection is decided for an id: of rows that share one, all go when one is rejected. Rows with a null id are judged
-    by a null id's verdicts in the same way.
-    """
-    found = written(identify(docs, learn(labelled, id_col, text_col, lang_col), id_col, text_col), "langs")
-    gone = written(found.where("rejected").select(id_col).distinct(), "rejected")
-    out = by_ids(docs, id_col, gone.where(F.col(id_col).isNotNull()), "left_anti")
-    if gone.where(F.col(id_col).isNull()).limit(1).count():
-        out = out.where(F.col(id_col).isNotNull())
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Classifier(shared.value)
+        for batch in batches:
+            keep = [not own.rejected(own.predict(t.as_py()), margin) for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it has at most so many rows of one id; above it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +48,11 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sized(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """df for the small side of a join: broadcast while its counted rows stay within most, else left to the planner."""
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def by_ids(df: DataFrame, key: str, ids: DataFrame, how: str, rows: int | None = None) -> DataFrame:
     """left_semi or left_anti join of df with the one column of ids.
 

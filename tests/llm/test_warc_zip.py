@@ -1,0 +1,111 @@
+from __future__ import annotations
+
+import hashlib
+import io
+import struct
+import zipfile
+
+import pytest
+
+from pagelathe.llm import warc_zip as wz
+from pagelathe.llm.scratch import new_path
+
+BIG = "<p>é</p>" * 40
+ROWS = [(5, "http://a/1", BIG), (2, "http://a/2 x\n", BIG), (9, None, BIG), (1, "u", "small"), (3, "u", "small"), (4, "u", None), (6, "u", ""), (7, "u", "y" * 2_000_000), (8, "u", "WARC/1.1\r\n\r\n" * 30), (9, "dup", BIG), (None, "n", "only null " * 20)]
+
+
+def brute(rows):
+    out = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        same = [j for j, _, g in rows if (g or "").encode() == b and j is not None]
+        first = min(same) if same and len(b) >= 100 else None
+        revisit = first is not None and i != first
+        out.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limits", [(256 << 20, 4 << 20), (500, 300)])
+def test_round_trip(spark, monkeypatch, limits):
+    monkeypatch.setattr(wz, "PACKAGE_BYTES", limits[0])
+    monkeypatch.setattr(wz, "RANGE_BYTES", limits[1])
+    df = spark.createDataFrame([(*r, "c", "c") for r in ROWS], "page_id long, url string, html string, digest string, path string")
+    packages = wz.write_pages(df, new_path(spark, "warc-test"))
+    assert (packages.count() > 4) == (limits[0] == 500)
+    got = wz.read_packages(packages, payloads=True).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(ROWS)
+    assert {r.payload.decode() for r in got if r.record_type == "response"} == {h or "" for _, _, h in ROWS}
+    assert all(r.payload is None for r in got if r.record_type == "revisit")
+    assert {r.url for r in got if r.page_id == 2} == {"http://a/2%20x%0A"}
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    assert wz.read_packages(wz.write_pages(df, new_path(spark, "warc-empty"))).collect() == []
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    expected = con.execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({wz.ORACLE})").fetchall()
+    assert sorted(map(tuple, wz.op7_warc(spark, sf).collect()), key=str) == sorted(expected, key=str)
+
+
+def archive(zip64: bool, comment: bytes = b"", deflate: bool = False) -> bytes:
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED if deflate else zipfile.ZIP_STORED) as z:
+        for name, data in ((wz.DATA, b"d" * 100), ("é.txt", b"x"), (wz.INDEX, b"i" * 10)):
+            with z.open(zipfile.ZipInfo(name) if not deflate else name, "w", force_zip64=zip64) as f:
+                f.write(data)
+        z.comment = comment
+    return raw.getvalue()
+
+
+def to_zip64(raw: bytes) -> bytes:
+    """The same archive with the end record's fields all ones and ZIP64 records in front; entries get ZIP64 extras."""
+    end = raw.rfind(b"PK\x05\x06")
+    count, length, start = struct.unpack_from("<HII", raw, end + 10)
+    table, at, new = raw[start : start + length], 0, b""
+    for _ in range(count):
+        n, x, c = struct.unpack_from("<HHH", table, at + 28)
+        packed, plain = struct.unpack_from("<II", table, at + 20)
+        where = struct.unpack_from("<I", table, at + 42)[0]
+        extra = struct.pack("<HHQQQ", 1, 24, plain, packed, where)
+        head = bytearray(table[at : at + 46])
+        struct.pack_into("<II", head, 20, 0xFFFFFFFF, 0xFFFFFFFF)
+        struct.pack_into("<I", head, 42, 0xFFFFFFFF)
+        struct.pack_into("<H", head, 30, len(extra) + 5)
+        new += bytes(head) + table[at + 46 : at + 46 + n] + b"\x99\x99\x01\x00z" + extra + table[at + 46 + n + x : at + 46 + n + x + c]
+        at += 46 + n + x + c
+    record = b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, count, count, len(new), start)
+    locator = b"PK\x06\x07" + struct.pack("<IQI", 0, start + len(new), 1)
+    return raw[:start] + new + record + locator + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+
+
+@pytest.mark.parametrize("raw", [archive(False), archive(True), archive(False, b"PK\x05\x06 in a comment"), to_zip64(archive(True))])
+def test_directory(raw):
+    members = {m.name: m for m in wz.directory(io.BytesIO(raw), len(raw))}
+    assert list(members) == [wz.DATA, "é.txt", wz.INDEX]
+    f = io.BytesIO(raw)
+    assert raw[wz.data_start(f, members[wz.DATA]) :][:100] == b"d" * 100 and members[wz.DATA].size == 100
+    assert raw[wz.data_start(f, members[wz.INDEX]) :][:10] == b"i" * 10
+
+
+def test_broken_archives_are_refused():
+    raw = archive(False)
+    with pytest.raises(ValueError, match="end of central"):
+        wz.directory(io.BytesIO(raw[:-30]), len(raw) - 30)
+    packed = archive(False, deflate=True)
+    member = next(m for m in wz.directory(io.BytesIO(packed), len(packed)) if m.name == "é.txt")
+    if member.method:
+        with pytest.raises(ValueError, match="compressed"):
+            wz.data_start(io.BytesIO(packed), member)
+    good = wz.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
+    assert wz.parse(good)["payload"] == b"payload"
+    with pytest.raises(ValueError, match="digest"):
+        wz.parse(good.replace(b"payload\r\n\r\n", b"paxload\r\n\r\n"))
+    with pytest.raises(ValueError, match="length"):
+        wz.parse(good[:-6])
