@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from pagelathe.plans import registry
+
+_MODULES = ["url_queries", "response_queries", "extraction_queries"]
+
+
+def _load() -> None:
+    for m in _MODULES:
+        import_module(f"pagelathe.plans.{m}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.lower(F.expr("try_parse_url(url, 'HOST')")).alias("host"))
+    _load()
+    return registry.QUERIES["flagship_topics"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.ORACLES)

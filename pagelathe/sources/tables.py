@@ -82,6 +82,7 @@ def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A relation of this module from the tables in sf_dir, by one of the SQL texts above."""
     names = ["events", "pages", "part", "nation", "orders", "lineitem", "supplier", "customer", "documents", "labels"]
     used = [n for n in names if f"FROM {n}" in sql]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for n in used:
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in used})
