@@ -9,9 +9,10 @@
    P(Bin(n + 1, threshold) <= m). A pair goes when that falls below the chosen miss probability.
 4. Survivors are verified on the full shingle sets of the whole texts.
 5. Links give components. Buckets of three or more whose members still lie in different components are then compared
-   exhaustively across components, in blocks: members outside the bucket's main component against all members, by
-   signature inside a task; of each such member and other component the best survivors go to verification, four at
-   first and four times as many in each further round, until none is left unverified. Nothing is capped.
+   exhaustively across components: members outside the component of the bucket's center against all members, in a grid
+   of blocks. A task compares signatures, takes a pair only in the first band where it agrees, verifies survivors on
+   the full sets, likeliest first, and returns a link for each pair of components that it joins; once joined, further
+   pairs between them need no check. Nothing is capped, and no pair is emitted that isn't a link.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.graph import components
-from pagelathe.llm.scratch import by_ids, discard, written
+from pagelathe.llm.scratch import by_ids, discard, sized, written
 from pagelathe.llm.words import common, mix, shingle_sets
 
 #: Bands and hashes in a band. At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**32 = 3e-6.
@@ -36,8 +36,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the probability of dropping a pair that reaches the threshold, for each batch.
 BATCH, MISS = 32, 1e-6
-#: Members of an unresolved bucket that one task compares with the bucket's minor members.
-BLOCK = 2048
+#: Members of an unresolved bucket on each side of a block of comparisons.
+BLOCK = 1024
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)
@@ -133,16 +133,24 @@ def _verifier(n_words: int, num: int, den: int):
     return run
 
 
-def _block_comparer(num: int, den: int, miss: float, best: int):
-    """Of a block of a bucket: cross-component pairs of minor members that survive, the best few for each other component."""
+def _block_linker(n_words: int, num: int, den: int, miss: float):
+    """Links that join components within a pair of blocks of a bucket: columns own, id, label, main, center, band, sig, text.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype="<u4").reshape(-1, HASHES)
-        ids, labels, minor = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["minor"].to_numpy()
-        members = np.flatnonzero(~minor)
-        out: list[tuple[int, int, bool]] = []
+    Members of one block are compared with those of the other (with each other where both are the same block) if at
+    least one lies outside the component of the bucket's center.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        sig = _matrix(block.column("sig"))
+        ids, labels, main, center, own = (block.column(c).to_numpy() for c in ("id", "label", "main", "center", "own"))
+        band = block.column("band")[0].as_py()
+        minor = labels != main
+        same = own.min() == own.max()
+        left, right, score = [], [], []
         for i in np.flatnonzero(minor):
-            other = members[labels[members] != labels[i]]
+            # the center has been compared with all; of two minor members only the smaller id asks
+            other = np.flatnonzero((labels != labels[i]) & (ids != center) & (same | (own != own[i])) & (~minor | (ids > ids[i])))
             agree = np.zeros(len(other), dtype=np.int64)
             for at in range(0, HASHES, BATCH):
                 if not len(other):
@@ -151,15 +159,38 @@ def _block_comparer(num: int, den: int, miss: float, best: int):
                 agree = agree + (sig[other, at:to] == sig[i, at:to]).sum(axis=1)
                 ok = agree >= fewest(to, num, den, miss)
                 other, agree = other[ok], agree[ok]
-            if len(other):
-                seen: dict[int, int] = {}
-                for j in other[np.lexsort((ids[other], -agree))]:
-                    k = seen[labels[j]] = seen.get(labels[j], 0) + 1
-                    if k <= best:
-                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), False))
-                    elif k == best + 1:
-                        out.append((min(ids[i], ids[j]), max(ids[i], ids[j]), True))
-        return pd.DataFrame(out, columns=["a", "b", "more"])
+            if len(other) and band:
+                head = band * ROWS
+                ok = ~(sig[other, :head] == sig[i, :head]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+                other, agree = other[ok], agree[ok]
+            left.append(np.full(len(other), i))
+            right.append(other)
+            score.append(agree)
+        found: list[tuple[int, int]] = []
+        if left:
+            left, right, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+            needed = np.unique(np.concatenate((left, right)))
+            texts = block.column("text").take(pa.array(needed))
+            sets = dict(zip(needed.tolist(), shingle_sets(texts, n_words), strict=True))
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while x in root:
+                    x = root[x]
+                return x
+
+            for k in np.argsort(-score, kind="stable").tolist():
+                i, j = int(left[k]), int(right[k])
+                a, b = find(int(labels[i])), find(int(labels[j]))
+                if a != b:
+                    x, y = sets[i], sets[j]
+                    if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
+                        both = common(x, y)
+                        if den * both >= num * (len(x) + len(y) - both):
+                            root[max(a, b)] = min(a, b)
+                            found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -176,54 +207,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = written(rows.mapInArrow(_sketcher(n_words), "id long, n_shingles long, key binary, sig binary"), "sketch")
     usable = sketch.where("key IS NOT NULL AND id IS NOT NULL")
     reps = written(usable.groupBy("key").agg(F.min(F.struct("id", "sig")).alias("r")).select("key", "r.id", "r.sig"), "reps")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
-    bands = reps.select(band.alias("bucket"), "id")
+    n_reps = reps.count()
+    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
+    bands = reps.select("id", bands.alias("band", "bucket"))
     centers = bands.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("m")).where("m > 1")
     shared = written(bands.join(centers, "bucket"), "buckets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs(a, b), on full sets of whole texts."""
-        left = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        both = left.join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        alive = written(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(num, den, miss), "a long, b long"), "alive")
-        nodes = written(alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct(), "nodes")
-        texts = by_ids(rows, "id", nodes, "left_semi").dropDuplicates(["id"])
-        texts = written(texts, "texts")
-        full = alive.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        links = written(full.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n_words, num, den), "a long, b long"), "links")
-        for x in (texts, nodes, alive):
-            discard(x)
-        return links
-
-    star = shared.where("id != center").groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.lit(1).alias("_")).select("a", "b")
-    links = verified(star)
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return written(by_ids(rows, "id", ids, "left_semi").dropDuplicates(["id"]), "texts")
+
+    # stars
+    star = shared.where("id != center").groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    signed = star.join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    alive = written(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(num, den, miss), "a long, b long"), "alive")
+    nodes = written(alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct(), "nodes")
+    texts = texts_of(nodes)
+    full = alive.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    links = written(full.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n_words, num, den), "a long, b long"), "links")
+    for x in (texts, nodes, alive):
+        discard(x)
     labels = components(links)
-    best = 4
-    while True:
-        named = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "center", "m", F.coalesce("label", "id").alias("label"))
-        named = named.where("m > 2")
-        split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")).where("lo != hi").select("bucket", "main")
-        open_ = written(named.join(split, "bucket").select("bucket", "id", "m", "label", (F.col("label") != F.col("main")).alias("minor")), "open")
-        if not open_.limit(1).count():
-            break
+    n_labels = labels.count()
+
+    # buckets that still hold several components
+    named = shared.where("m > 2").join(sized(labels.toDF("id", "label"), n_labels), "id", "left").select("bucket", "band", "id", "center", "m", F.coalesce("label", "id").alias("label"))
+    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")).where("lo != hi").select("bucket", "main")
+    open_ = written(named.join(split, "bucket"), "open")
+    if open_.limit(1).count():
         n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        members = open_.select("bucket", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), "id", "label", F.lit(False).alias("minor"))
-        minors = open_.where("minor").select("bucket", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), "id", "label", F.lit(True).alias("minor"))
-        both = members.unionByName(minors).join(reps.select("id", "sig"), "id")
-        found = both.select("bucket", "block", "id", "label", "minor", "sig").groupBy("bucket", "block").applyInPandas(_block_comparer(num, den, miss, best), "a long, b long, more boolean")
-        found = written(found, "found")
-        pairs = found.where("NOT more").select("a", "b").distinct()
-        fresh = verified(pairs)
-        more = found.where("more").limit(1).count()
+        own, every = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.explode(F.sequence(F.lit(0), n_blocks - 1))
+        pairs = open_.select("bucket", "band", "id", "center", "label", "main", own.alias("own"), every.alias("other"))
+        pairs = pairs.withColumns({"row": F.least("own", "other"), "col": F.greatest("own", "other")}).drop("other")
+        texts = texts_of(open_.select("id").distinct())
+        laid = pairs.join(reps.select("id", "sig"), "id").join(texts, "id")
+        fresh = laid.groupBy("bucket", "row", "col").applyInArrow(_block_linker(n_words, num, den, miss), "a long, b long")
         links = written(links.unionByName(fresh), "links")
+        discard(texts)
         labels = components(links)
-        discard(open_)
-        discard(found)
-        if not more:
-            break
-        best *= 4
-    of = reps.select("key", F.col("id").alias("rep")).join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))
-    out = sketch.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(of, "key", "left")
+        n_labels = labels.count()
+    of = reps.select("key", F.col("id").alias("rep")).join(sized(labels.toDF("rep", "label"), n_labels), "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))
+    out = sketch.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(sized(of, n_reps), "key", "left")
     component = F.coalesce("label", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
