@@ -239,10 +239,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = open_.select("bucket", "band", "id", "center", "label", "main", own.alias("own"), every.alias("other"))
         pairs = pairs.withColumns({"row": F.least("own", "other"), "col": F.greatest("own", "other")}).drop("other")
         texts = texts_of(open_.select("id").distinct())
-        laid = pairs.join(reps.select("id", "sig"), "id").join(texts, "id")
+        members = written(texts.join(reps.select("id", "sig"), "id"), "members")
+        laid = pairs.join(members, "id")
         fresh = laid.groupBy("bucket", "row", "col").applyInArrow(_block_linker(n_words, num, den, miss), "a long, b long")
         links = written(links.unionByName(fresh), "links")
         discard(texts)
+        discard(members)
         labels = components(links)
         n_labels = labels.count()
     of = reps.select("key", F.col("id").alias("rep")).join(sized(labels.toDF("rep", "label"), n_labels), "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))
