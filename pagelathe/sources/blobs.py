@@ -8,20 +8,21 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_gzip(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else gzip.compress(b, 6, mtime=0))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_zstd(raw: pd.Series) -> pd.Series:
     c = zstandard.ZstdCompressor(level=6)
     return raw.map(lambda b: None if b is None else c.compress(b))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def unpack(packed: pd.Series) -> pd.Series:
     """gzip and zstd are told apart by their first bytes; anything else is returned as it is."""
     d = zstandard.ZstdDecompressor()
