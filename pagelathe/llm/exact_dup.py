@@ -42,12 +42,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = copies.groupBy("h", "norm").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = classes.groupBy("h").agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("variants"))
     classes = written(classes, "classes")
-    discard(several)
     plain = classes.where("variants = 1").select("h", "keep_id", "group_size")
     collided = classes.where("variants > 1").select("h")
     out = hashed
     n_collided = collided.count()
-    if n_collided:
+    if not n_collided:
+        discard(several)
+    else:
         out = hashed.join(sized(collided, n_collided, HASH_ROWS), "h", "left_anti")
     out = out.join(sized(plain, n_several, HASH_ROWS), "h", "left").select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
     if n_collided:
