@@ -105,4 +105,4 @@ def dedup_key(url: Column) -> Column:
 
 def engine_bucket(url: Column, buckets: int = 100000) -> Column:
     """A stable bucket of the URL without its query."""
-    return F.pmod(F.xxhash64(F.substring_index(url, "?", 1)), F.lit(buckets))
+    return F.conv(F.substring(F.md5(F.substring_index(url, "?", 1)), 1, 8), 16, 10).cast("long") % buckets

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagelathe.plans import registry
 
-_MODULES = ["url_queries", "response_queries", "extraction_queries", "aggregate_queries", "relational_queries", "fold_queries", "stream_queries"]
+_MODULES = ["url_queries", "response_queries", "extraction_queries", "aggregate_queries", "relational_queries", "fold_queries", "stream_queries", "adapter_queries"]
 
 
 def _load() -> None:

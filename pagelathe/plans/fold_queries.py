@@ -78,13 +78,55 @@ def _outcomes(spark, d):
     return T.fetch_log(spark, d).select("domain", "proxy_id", "ts", "event_id", (F.unix_micros("ts") / 1e6).alias("t"), R.is_success(F.col("status_code")).alias("ok"), (F.col("status_code") == 403).alias("ban"))
 
 
-def _fold(name: str, make, out: str, kind: str):
-    query(name)(lambda spark, d: S.ordered(_outcomes(spark, d), "domain", ["ts", "event_id"], ["t", "ok"], *make(), out, kind))
+def _fold(name: str, make, out: str, kind: str, oracle: str):
+    query(name, oracle)(lambda spark, d: S.ordered(_outcomes(spark, d), "domain", ["ts", "event_id"], ["t", "ok"], *make(), out, kind))
 
 
-_fold("st_breaker", lambda: S.domain_breaker(4, 7200.0, 3, 86400.0), "state", "string")
-_fold("st_breaker2", lambda: S.lazy_breaker(4, 7200.0), "state", "string")
-_fold("breaker_op", lambda: S.component_breaker(3, 3600.0), "state", "string")
+def _breaker(fields: dict[str, tuple[str, str]], allowed: str = "true") -> str:
+    """SQL of a breaker: per state field its start and its next value, over a (before) and x (row). The state of each row
+    is kept in a list; rows that are not allowed change nothing."""
+    start = ", ".join(f"'{k}': {v[0]}" for k, v in fields.items())
+    step = ", ".join(f"'{k}': {v[1]}" for k, v in fields.items())
+    state = fields["state"][1]
+    return f"""WITH {_L}, l AS (SELECT domain, list({{'t': epoch_us(ts) / 1e6, 'ok': status_code BETWEEN 200 AND 299, 'o': event_id, {start}, 'v': []::VARCHAR[]}} ORDER BY ts, event_id) AS e FROM f GROUP BY domain),
+r AS (SELECT domain, list_transform(e, lambda y: y.o) AS o, list_reduce(e, lambda a, x: {{'t': x.t, 'ok': x.ok, 'o': x.o, {step}, 'v': list_append(a.v, coalesce(nullif({state}, ''), 'closed'))}}, {{'t': 0.0::DOUBLE, 'ok': true, 'o': 0::BIGINT, {start}, 'v': []::VARCHAR[]}}).v AS v FROM l)
+SELECT domain, unnest(o) AS event_id, unnest(v) AS state FROM r"""
+
+
+def _lazy(threshold: int, cooldown: int) -> str:
+    n = "(CASE WHEN x.ok THEN 0 ELSE a.failures + 1 END)"
+    opens = f"(a.state = 'closed' AND {n} >= {threshold})"
+    state = f"CASE WHEN {opens} THEN 'open' WHEN a.state = 'open' AND x.t - a.opened >= {cooldown} THEN 'half_open' WHEN a.state = 'half_open' AND {n} = 0 THEN 'closed' ELSE a.state END"
+    return _breaker({"state": ("'closed'", state), "failures": ("0", n), "opened": ("0.0::DOUBLE", f"CASE WHEN {opens} THEN x.t ELSE a.opened END")})
+
+
+def _component(threshold: int, cooldown: int) -> str:
+    half = f"(a.state = 'open' AND x.t - a.opened >= {cooldown})"
+    n = f"(CASE WHEN x.ok THEN 0 WHEN {half} THEN 1 ELSE a.failures + 1 END)"
+    opens = f"(NOT x.ok AND a.state = 'closed' AND {n} >= {threshold})"
+    state = f"CASE WHEN x.ok THEN 'closed' WHEN {opens} THEN 'open' WHEN {half} THEN 'half_open' ELSE a.state END"
+    return _breaker({"state": ("'closed'", state), "failures": ("0", n), "opened": ("0.0::DOUBLE", f"CASE WHEN {opens} THEN x.t ELSE a.opened END")})
+
+
+def _domain(threshold: int, cooldown: int, probes: int, forget: int) -> str:
+    still = f"(a.state = 'open' AND x.t - a.opened < {cooldown})"
+    half = f"(a.state = 'open' AND x.t - a.opened >= {cooldown})"
+    tried = "(CASE WHEN a.state = 'open' THEN 0 WHEN a.state = 'half_open' THEN a.probes + 1 ELSE a.probes END)"
+    shut = f"({still} OR (a.state = 'half_open' AND a.probes + 1 > {probes}))"
+    probing = f"({half} OR a.state = 'half_open')"
+    n = f"(CASE WHEN a.at IS NOT NULL AND x.t - a.at > {forget} THEN 1 ELSE a.failures + 1 END)"
+    plain = f"(NOT {shut} AND NOT {probing})"
+    state = f"CASE WHEN {shut} THEN a.state WHEN {probing} THEN CASE WHEN x.ok THEN 'closed' ELSE 'open' END WHEN NOT x.ok AND {n} >= {threshold} THEN 'open' ELSE a.state END"
+    failures = f"CASE WHEN {shut} THEN a.failures WHEN {probing} THEN CASE WHEN x.ok THEN 0 ELSE a.failures END WHEN x.ok THEN CASE WHEN a.state = 'closed' THEN 0 ELSE a.failures END ELSE {n} END"
+    opened = f"CASE WHEN {shut} OR x.ok THEN a.opened WHEN {probing} OR {n} >= {threshold} THEN x.t ELSE a.opened END"
+    tries = f"CASE WHEN {still} THEN a.probes WHEN {probing} AND x.ok AND NOT {shut} THEN 0 ELSE {tried} END"
+    at = f"CASE WHEN {plain} AND NOT x.ok THEN x.t ELSE a.at END"
+    return _breaker({"state": ("''", state), "failures": ("0", failures), "opened": ("0.0::DOUBLE", opened), "probes": ("0", tries), "at": ("NULL::DOUBLE", at)})
+
+
+_fold("st_breaker", lambda: S.domain_breaker(4, 7200.0, 3, 86400.0), "state", "string", _domain(4, 7200, 3, 86400))
+_fold("st_breaker2", lambda: S.lazy_breaker(4, 7200.0), "state", "string", _lazy(4, 7200))
+_fold("breaker_op", lambda: S.component_breaker(3, 3600.0), "state", "string", _component(3, 3600))
 
 
 @query(
@@ -152,7 +194,12 @@ def st_dns(spark, d):
     return found.select("event_id", "up", F.coalesce(F.unix_micros("ts") - F.unix_micros("matched_ts") > 5 * 3600 * 10**6, F.lit(True)).alias("refresh"))
 
 
-@query("st_dispatch")
+_DISPATCH = f"""WITH {_L}, p AS ({_SPACED.format(with_=_L, key="domain", rows="f", us=600 * 10**6)}), g AS (SELECT f.*, CAST(f.user_id AS STRING) AS key FROM f JOIN p USING (event_id) WHERE ok),
+q AS ({_SPACED.format(with_="h AS (SELECT 1 AS one)", key="key", rows="g", us=86400 * 10**6)})
+SELECT event_id, 'https://x.example/product/' || key AS url, 85 AS priority, 'high' AS topic, 'queued' AS status FROM q WHERE ok"""
+
+
+@query("st_dispatch", _DISPATCH)
 def st_dispatch(spark, d):
     """Dedup, politeness, score and topic of fetches as one plan; politeness is asked before a URL is marked as seen."""
     log = T.fetch_log(spark, d).withColumn("url", F.concat(F.lit("https://x.example/product/"), F.col("user_id").cast("string")))
@@ -186,3 +233,22 @@ def sm_profile(spark, d):
 
     c = T.table(spark, d, "customer")
     return c.select("c_custkey", categorical(F.col("c_custkey"), {"desktop": 0.6, "mobile": 0.3, "tablet": 0.1}, seed=7).alias("profile"))
+
+
+@query("st_wait", f"WITH {_L}, w AS (SELECT event_id, ts, lag(ts, 2) OVER (PARTITION BY domain ORDER BY ts, event_id) AS before FROM f) SELECT event_id, CASE WHEN before > ts - INTERVAL 10 HOUR THEN epoch_us(before + INTERVAL 10 HOUR - ts) // 1000000 ELSE 0 END AS wait_s FROM w")
+def st_wait(spark, d):
+    """How long an event would wait for one of two slots in ten hours if every event took one."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("domain").orderBy("ts", "event_id")
+    left = F.unix_micros(F.lag("ts", 2).over(w)) + 36_000_000_000 - F.unix_micros("ts")
+    return T.fetch_log(spark, d).select("event_id", F.when(left > 0, F.floor(left / 1_000_000)).otherwise(F.lit(0)).cast("long").alias("wait_s"))
+
+
+@query("st_cookie", f"WITH {_L} SELECT domain, arg_max('sid=' || CAST(event_id AS STRING), event_id) AS cookies FROM f WHERE status_code = 200 AND ts > (SELECT max(ts) FROM f) - INTERVAL 30 DAY GROUP BY domain")
+def st_cookie(spark, d):
+    """The last stored header of each domain that is still valid."""
+    log = T.fetch_log(spark, d).where("status_code = 200")
+    now = T.fetch_log(spark, d).agg(F.max("ts").alias("now"))
+    live = log.join(F.broadcast(now)).where(F.col("ts") > F.col("now") - F.expr("INTERVAL 30 DAY"))
+    return live.groupBy("domain").agg(F.max_by(F.concat(F.lit("sid="), F.col("event_id").cast("string")), "event_id").alias("cookies"))

@@ -75,7 +75,7 @@ def rule_key(spark, d):
     return T.rules(spark, d).select("rule_id", F.concat_ws(":", F.lit("extract"), F.lit("rule"), "domain", F.substring(F.md5("path_pattern"), 1, 12)).alias("rule_key"))
 
 
-@query("engine_key")
+@query("engine_key", f"WITH u AS ({T.URLS}) SELECT id, CAST(CAST('0x' || left(md5(string_split(url, '?')[1]), 8) AS BIGINT) % 100000 AS BIGINT) AS bucket FROM u")
 def engine_key(spark, d):
     """A stable bucket of each URL without its query."""
     return T.urls(spark, d).select("id", U.engine_bucket(F.col("url")).alias("bucket"))
