@@ -118,7 +118,7 @@ def json_nested(spark, d):
 _HEUR = f"SELECT page_id, 1 AS seq, 'price' AS name, CAST({_PRICE} AS STRING) AS value FROM t UNION ALL SELECT page_id, 2, 'sku', {_first(X.SKU)} FROM t UNION ALL SELECT page_id, 3, 'rating_value', CAST({_RATING} AS STRING) FROM t UNION ALL SELECT page_id, 4, 'review_count', {_REVIEWS} FROM t"
 
 
-@query("ex_adaptive", f"WITH {_T} SELECT page_id, name, value, 0.5 AS confidence FROM ({_HEUR}) WHERE value IS NOT NULL")
+@query("ex_adaptive", f"WITH {_T} SELECT page_id, name, value, 0.5::DOUBLE AS confidence FROM ({_HEUR}) WHERE value IS NOT NULL")
 def ex_adaptive(spark, d):
     """Fields found in visible text by patterns, one row each."""
     return _text(spark, d).select("page_id", F.inline(X.heuristic_fields(F.col("text"))))

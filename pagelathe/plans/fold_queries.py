@@ -144,7 +144,7 @@ def st_aimd(spark, d):
 
 @query(
     "st_identity",
-    f"""WITH {_L}, l AS (SELECT proxy_id, list(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1.0::DOUBLE ELSE 0.0 END ORDER BY ts, event_id) AS r, least(1.0, 0.001 * count(*) FILTER (status_code = 403)) AS ban FROM f GROUP BY proxy_id) SELECT proxy_id, round(list_reduce(r, lambda a, x: a * 0.9::DOUBLE + x * 0.1::DOUBLE, 1.0::DOUBLE), 6) AS success_rate, round(ban, 6) AS ban_score FROM l""",
+    f"""WITH {_L}, l AS (SELECT proxy_id, list(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1.0::DOUBLE ELSE 0.0 END ORDER BY ts, event_id) AS r, least(1.0::DOUBLE, 0.001::DOUBLE * count(*) FILTER (status_code = 403)) AS ban FROM f GROUP BY proxy_id) SELECT proxy_id, round(list_reduce(r, lambda a, x: a * 0.9::DOUBLE + x * 0.1::DOUBLE, 1.0::DOUBLE), 6) AS success_rate, round(ban, 6) AS ban_score FROM l""",
 )
 def st_identity(spark, d):
     """A smoothed success rate, from 1, and a ban score that grows by 0.001 up to 1."""
