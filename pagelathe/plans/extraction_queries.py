@@ -274,3 +274,12 @@ def json_fence(spark, d):
     rules = F.coalesce(*(F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, kind)) for x in (plain, part)))
     rules = F.filter(rules, lambda r: r["field"].isNotNull() & r["selector"].isNotNull())
     return T.table(spark, d, "part").select("p_partkey", F.inline(rules))
+
+
+@query("udtf_links", """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages) SELECT page_id, CAST(unnest(range(0, len(l))) AS INT) AS position, unnest(l) AS href FROM l""")
+def udtf_links(spark, d):
+    """Links of pages by a table function in SQL."""
+    from pagelathe.functions import udtf
+
+    udtf.register(spark)
+    return spark.sql("SELECT page_id, l.position, l.href FROM {p}, LATERAL html_links(html) l", p=T.table(spark, d, "pages"))

@@ -105,3 +105,13 @@ def test_cascade(spark):
     hook = lambda html, url: F.array(F.struct(F.lit("image").alias("name"), F.lit("m.png").alias("value"), F.lit(0.85).alias("confidence")))
     asked = {r.page_id: r.fields.get("image") for r in extract(pages, "page_id", model=hook).collect()}
     assert asked == {1: "a.jpg", 2: "m.png", 3: "m.png", 4: "m.png"}
+
+
+def test_table_functions(spark):
+    from pagelathe.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame([(1, PRODUCT + "<a href='/x'>y</a>"), (2, None)], "page_id long, html string").createOrReplaceTempView("udtf_pages")
+    rows = spark.sql("SELECT page_id, f.name, f.value FROM udtf_pages, LATERAL extract_fields(html, 'u') f").collect()
+    assert {r.page_id for r in rows} == {1} and ("title", "Title & bold") in {(r.name, r.value) for r in rows}
+    assert [(r.position, r.href) for r in spark.sql("SELECT l.* FROM udtf_pages, LATERAL html_links(html) l").collect()] == [(0, "/x")]
