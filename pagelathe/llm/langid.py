@@ -15,8 +15,13 @@ from pyspark.sql import Window
 SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES = 128, 20_000, 64 * 1024
 #: Compression level, and the finer one that decides where the first leaves a margin of at most NARROW bytes.
 LEVEL, FINE_LEVEL, NARROW = 6, 12, 2
-#: A prediction is rejected when the runner-up needs less than so many bytes more.
-MARGIN = 1
+#: Long texts are compressed in pieces of so many bytes, each under the dictionary alone, and the sizes summed: a piece
+#: finds the words of the text before it as easily under any dictionary, so the share that tells languages apart would
+#: shrink with the length.
+PIECE = 4096
+#: A prediction is rejected when the runner-up needs less than MARGIN bytes more (which decides short texts), or less than
+#: the share RELATIVE of the smallest size more.
+MARGIN, RELATIVE = 1, 0.03
 UNKNOWN = "und"
 #: ASCII bytes other than letters become spaces, so that digits, marks and markup weigh the same in every language.
 _LETTERS = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,29 +62,31 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         raw = plain(text)
-        out = [len(c.compress(raw)) for c in self._by[LEVEL]]
+        pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+        out = [sum(len(c.compress(p)) for p in pieces) for c in self._by[LEVEL]]
         if len(out) > 1 and sorted(out)[1] - min(out) <= NARROW:
-            out = [len(c.compress(raw)) for c in self._by[FINE_LEVEL]]
+            out = [sum(len(c.compress(p)) for p in pieces) for c in self._by[FINE_LEVEL]]
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float, int]:
-        """(language, score, margin in bytes). The score weighs languages by 2 ** -(bytes above the smallest)."""
+    def predict(self, text: str | None) -> tuple[str, float, int, int]:
+        """(language, score, margin in bytes, smallest size). The score weighs languages by 2 ** -(bytes above the smallest)."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0, 0
+            return UNKNOWN, 0.0, 0, 0
         sizes = self.sizes(text)
         least = min(sizes)
         margin = sorted(sizes)[1] - least if len(sizes) > 1 else len(text)
-        return self.langs[sizes.index(least)], 1.0 / sum(2.0 ** -min(s - least, 60) for s in sizes), margin
+        return self.langs[sizes.index(least)], 1.0 / sum(2.0 ** -min(s - least, 60) for s in sizes), margin, least
 
-    def rejected(self, found: tuple[str, float, int], margin: int) -> bool:
-        return found[0] == UNKNOWN or (len(self.langs) > 1 and found[2] < margin)
+    def rejected(self, found: tuple[str, float, int, int], margin: int, relative: float = RELATIVE) -> bool:
+        return found[0] == UNKNOWN or (len(self.langs) > 1 and found[2] < max(margin, relative * found[3]))
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: int = MARGIN) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: int = MARGIN, relative: float = RELATIVE) -> DataFrame:
     """Per row: id, lang_pred, score, margin, rejected.
 
     lang_pred is "und" with score 0 for a null text, one without a letter, or when nothing was learned. Ties go to the
-    language that sorts first. rejected is true for "und" and where the margin is narrower than the given bytes.
+    language that sorts first. rejected is true for "und" and where the margin is narrower than the given bytes
+    or the given share of the smallest size.
     An empty table gives an empty result; ids may be null or repeated; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -89,8 +96,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
         own = Classifier(shared.value)
         for batch in batches:
             found = [own.predict(t.as_py()) for t in batch.column(1)]
-            lang, score, width = zip(*found, strict=True) if found else ((), (), ())
-            reject = [own.rejected(x, margin) for x in found]
+            lang, score, width, _ = zip(*found, strict=True) if found else ((), (), (), ())
+            reject = [own.rejected(x, margin, relative) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(width, pa.int64()), pa.array(reject, pa.bool_())], [id_col, "lang_pred", "score", "margin", "rejected"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, margin long, rejected boolean")
@@ -101,7 +108,7 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def drop_unidentified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: int = MARGIN) -> DataFrame:
+def drop_unidentified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: int = MARGIN, relative: float = RELATIVE) -> DataFrame:
     """The rows of docs, all columns, whose language is not rejected; each row is judged by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(labelled, id_col, text_col, lang_col))
     at = docs.columns.index(text_col)
@@ -109,7 +116,7 @@ def drop_unidentified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(shared.value)
         for batch in batches:
-            keep = [not own.rejected(own.predict(t.as_py()), margin) for t in batch.column(at)]
+            keep = [not own.rejected(own.predict(t.as_py()), margin, relative) for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

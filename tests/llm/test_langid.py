@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import pytest
@@ -56,3 +57,18 @@ def test_drop(spark, docs):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert not ids & {900001, 900002, None} and len(ids) >= 0.98 * docs.count()
+
+
+def test_long_texts_in_an_unlearned_language_go(spark, docs):
+    """The margin grows with the text; clean texts stay at any length, also far beyond the dictionaries."""
+    r = random.Random(0)
+    finnish = "talo koira kissa vesi tuli maa ilma aurinko kuu tähti metsä järvi joki meri saari vuori kukka puu lintu kala hevonen leipä maito kirja".split()
+    consonants = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randrange(2, 10)))
+    strange = [" ".join(consonants() for _ in range(n)) for n in (200, 500, 1000, 4000) for _ in range(5)] + [" ".join(r.choices(finnish, k=n)) for n in (300, 1000, 20000) for _ in range(5)]
+    texts: dict[str, list[str]] = {}
+    for row in docs.where("text IS NOT NULL AND lang IS NOT NULL").collect():
+        texts.setdefault(row.lang, []).append(row.text)
+    clean = [" ".join(r.choices(own, k=k)) for own in texts.values() for k in (5, 50, 500)]
+    rows = [(i, t, None, "s", len(t)) for i, t in enumerate(strange + clean)]
+    kept = {x.doc_id for x in li.drop_unidentified(spark.createDataFrame(rows, docs.schema), docs).collect()}
+    assert kept == set(range(len(strange), len(rows)))
