@@ -81,6 +81,17 @@ def path_pattern(p: Column, last_slug: bool = True) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(segments, one), "/"))
 
 
+def link_path(page_path: Column, href: Column) -> Column:
+    """The path that a link leads to, resolved against its page's path; null where a link has none, as mailto:."""
+    rest = F.regexp_replace(F.trim(href), r"[?#].*$", "")
+    absolute = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/]*"
+    base = F.regexp_replace(page_path, "[^/]*$", "")
+    whole = F.when(rest.rlike(absolute), F.regexp_replace(rest, absolute, "")).when(rest.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(rest == "", page_path).when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(base, rest))
+    none = F.array().cast("array<string>")
+    step = lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s.isin("", "."), acc).otherwise(F.array_append(acc, s))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(F.regexp_replace(whole, ";[^/]*$", ""), "/"), none, step), "/"))
+
+
 def pattern_regex(pattern: Column) -> Column:
     """A regular expression that a path must begin with: placeholders stand for a segment, * for part of one."""
     escaped = F.regexp_replace(pattern, r"([\\.+?^$()\[\]|])", r"\\$1")

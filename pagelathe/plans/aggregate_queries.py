@@ -78,8 +78,9 @@ e AS (SELECT DISTINCT regexp_extract(host, '[^.]+\\.[^.]+$', 0) AS domain, left(
 
 
 def _edges(spark, d):
-    x = T.table(spark, d, "pages").select(F.regexp_extract(U.host(F.col("url")), r"[^.]+\.[^.]+$", 0).alias("domain"), F.substring(U.path(F.col("url")), 1, 4).alias("src"), F.explode(X.links(F.col("html"))).alias("href"))
-    return x.select("domain", "src", F.substring("href", 1, 3).alias("dst")).distinct()
+    """Whole patterns of pages and of their links; an absolute link counts by its path, a relative one from its page."""
+    x = T.table(spark, d, "pages").select(F.regexp_extract(U.host(F.col("url")), r"[^.]+\.[^.]+$", 0).alias("domain"), U.path(F.col("url")).alias("path"), F.explode(X.links(F.col("html"))).alias("href"))
+    return x.select("domain", U.path_pattern(F.col("path")).alias("src"), U.path_pattern(U.link_path(F.col("path"), F.col("href"))).alias("dst")).where("dst IS NOT NULL").distinct()
 
 
 @query("agg_hubs", f"WITH {_EDGES} SELECT domain, src AS pattern, count(DISTINCT dst) AS n FROM e GROUP BY 1, 2 HAVING n >= 3")
