@@ -184,14 +184,14 @@ def st_offload(spark, d):
 
 @query("st_dns", f"WITH {_L}, p AS (SELECT domain, ts, latency_ms < 10000 AS up FROM f WHERE event_id % 10 = 0), q AS (SELECT event_id, domain, ts FROM f WHERE event_id % 10 = 5), m AS (SELECT q.event_id, max(p.ts) AS seen, arg_max(p.up, p.ts) AS up, any_value(q.ts) AS ts FROM q LEFT JOIN p ON p.domain = q.domain AND p.ts <= q.ts AND p.ts > q.ts - INTERVAL 6 HOUR GROUP BY q.event_id) SELECT event_id, up, coalesce(ts - seen > INTERVAL 5 HOUR, true) AS refresh FROM m")
 def st_dns(spark, d):
-    """The last probe of a domain no older than six hours, and whether a new one is due. An as-of lookup by one window."""
-    from pagelathe.operators.asof import as_of
-
-    f = T.fetch_log(spark, d)
-    probes = f.where("event_id % 10 = 0").select("domain", "ts", (F.col("latency_ms") < 10000).alias("up"))
-    asked = f.where("event_id % 10 = 5").select("event_id", "domain", "ts")
-    found = as_of(asked, probes, "domain", "ts", ["up"], seconds=6 * 3600)
-    return found.select("event_id", "up", F.coalesce(F.unix_micros("ts") - F.unix_micros("matched_ts") > 5 * 3600 * 10**6, F.lit(True)).alias("refresh"))
+    """The last probe of a domain no older than six hours, and whether a new one is due. Every event is a lookup, and a
+    probe for the events after it by time and id; so the last probe is the row before, found by one window."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("domain").orderBy("ts", "event_id")
+    f = T.fetch_log(spark, d).select("event_id", "ts", F.lag(F.struct("ts", (F.col("latency_ms") < 10000).alias("up"))).over(w).alias("probe"))
+    age = F.unix_micros("ts") - F.unix_micros("probe.ts")
+    return f.select("event_id", F.when(age < 6 * 3600 * 10**6, F.col("probe.up")).alias("up"), F.coalesce(age > 5 * 3600 * 10**6, F.lit(True)).alias("refresh"))
 
 
 _DISPATCH = f"""WITH {_L}, p AS ({_SPACED.format(with_=_L, key="domain", rows="f", us=600 * 10**6)}), g AS (SELECT f.*, CAST(f.user_id AS STRING) AS key FROM f JOIN p USING (event_id) WHERE ok),

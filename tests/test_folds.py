@@ -137,3 +137,23 @@ def test_approximate_dedup_keeps_every_key(spark, tmp_path):
     spark.createDataFrame([("k", i % 5, T0 + dt.timedelta(seconds=i)) for i in range(50)], "k string, id long, ts timestamp").write.parquet(path)
     stream = spark.readStream.schema("k string, id long, ts timestamp").parquet(path)
     assert sorted(r.id for r in run_available(W.dedup_approximate(stream, "id")).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_dns_uses_every_event(spark, tmp_path):
+    """Every event is answered, by the last one of its domain before it; events at the same time follow their ids."""
+    from pagelathe.plans import catalog
+    from pagelathe.sources import tables as T
+
+    r, t, rows = random.Random(3), dt.datetime(2024, 1, 1), []
+    for i in range(400):
+        t += dt.timedelta(minutes=r.choice([0, 0, 1, 5, 20, 45]))
+        rows.append((i, t, r.randrange(20), r.choice(["click", "error"]), r.uniform(0, 200), '{"k": 1}'))
+    spark.createDataFrame(rows, spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema).write.parquet(f"{tmp_path}/events.parquet")
+    last, expected = {}, {}
+    for e in sorted(T.fetch_log(spark, str(tmp_path)).collect(), key=lambda e: (e.ts, e.event_id)):
+        seen = last.get(e.domain)
+        age = (e.ts - seen.ts).total_seconds() if seen else 1e9
+        expected[e.event_id] = (seen.latency_ms < 10000 if age < 6 * 3600 else None, age > 5 * 3600)
+        last[e.domain] = e
+    assert {e.event_id: (e.up, e.refresh) for e in catalog.queries()["st_dns"](spark, str(tmp_path)).collect()} == expected
+    assert len(expected) == 400 and len(set(expected.values())) >= 4
