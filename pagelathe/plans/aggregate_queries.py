@@ -11,6 +11,7 @@ from pagelathe.functions import urls as U
 from pagelathe.operators import aggregates as A
 from pagelathe.plans.registry import query
 from pagelathe.plans.response_queries import BLOCKED, REWARD
+from pagelathe.plans.url_queries import segments
 from pagelathe.sources import tables as T
 
 _L = f"f AS ({T.FETCH_LOG})"
@@ -71,10 +72,14 @@ def agg_rules(spark, d):
     return T.rules(spark, d).groupBy("domain").agg(F.count_distinct("path_pattern").alias("patterns"), F.count("*").alias("total_rules"))
 
 
-# link graph of page patterns: each page's pattern and those of its links
+# link graph of page patterns: each page's pattern and those of its links, resolved against the page
 _HREF = """unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1))"""
-_EDGES = f"""x AS (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, {_HREF} AS href FROM pages),
-e AS (SELECT DISTINCT regexp_extract(host, '[^.]+\\.[^.]+$', 0) AS domain, left(path, 4) AS src, left(href, 3) AS dst FROM x)"""
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
+_EDGES = f"""x AS (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') AS path, regexp_replace(trim({_HREF}), '[?#].*$', '') AS rest FROM pages),
+w AS (SELECT host, path, CASE WHEN regexp_matches(rest, '^({_SCHEME})?//') THEN regexp_replace(rest, '^({_SCHEME})?//[^/]*', '') WHEN regexp_matches(rest, '^{_SCHEME}') THEN NULL WHEN rest = '' THEN path WHEN starts_with(rest, '/') THEN rest ELSE regexp_replace(path, '[^/]*$', '') || rest END AS whole FROM x),
+l AS (SELECT host, path, list_reduce(list_transform(string_split(regexp_replace(whole, ';[^/]*$', ''), '/'), lambda s: [s]), lambda a, s: CASE WHEN s[1] = '..' THEN a[1:len(a) - 1] WHEN s[1] IN ('', '.') THEN a ELSE list_concat(a, s) END, []::VARCHAR[]) AS steps FROM w WHERE whole IS NOT NULL),
+t AS (SELECT host, path, '/' || array_to_string(steps, '/') AS target FROM l),
+e AS (SELECT DISTINCT regexp_extract(host, '[^.]+\\.[^.]+$', 0) AS domain, {segments("path")} AS src, {segments("target")} AS dst FROM t)"""
 
 
 def _edges(spark, d):

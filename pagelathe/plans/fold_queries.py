@@ -182,7 +182,7 @@ def st_offload(spark, d):
     return T.table(spark, d, "customer").select("c_custkey", n.cast("long").alias("n"))
 
 
-@query("st_dns", f"WITH {_L}, p AS (SELECT domain, ts, latency_ms < 10000 AS up FROM f WHERE event_id % 10 = 0), q AS (SELECT event_id, domain, ts FROM f WHERE event_id % 10 = 5), m AS (SELECT q.event_id, max(p.ts) AS seen, arg_max(p.up, p.ts) AS up, any_value(q.ts) AS ts FROM q LEFT JOIN p ON p.domain = q.domain AND p.ts <= q.ts AND p.ts > q.ts - INTERVAL 6 HOUR GROUP BY q.event_id) SELECT event_id, up, coalesce(ts - seen > INTERVAL 5 HOUR, true) AS refresh FROM m")
+@query("st_dns", f"WITH {_L}, m AS (SELECT q.event_id, max(p.ts) AS seen, arg_max(p.latency_ms < 10000, (p.ts, p.event_id)) AS up, any_value(q.ts) AS ts FROM f q LEFT JOIN f p ON p.domain = q.domain AND (p.ts, p.event_id) < (q.ts, q.event_id) AND p.ts > q.ts - INTERVAL 6 HOUR GROUP BY q.event_id) SELECT event_id, up, coalesce(ts - seen > INTERVAL 5 HOUR, true) AS refresh FROM m")
 def st_dns(spark, d):
     """The last probe of a domain no older than six hours, and whether a new one is due. Every event is a lookup, and a
     probe for the events after it by time and id; so the last probe is the row before, found by one window."""

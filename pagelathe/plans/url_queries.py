@@ -21,15 +21,15 @@ def _has(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower(url), '{w}')" for w in words) + ")"
 
 
-def _segments(last: str) -> str:
-    return f"""'/' || array_to_string(list_transform(string_split(regexp_replace(path, '^/+|/+$', '', 'g'), '/'), lambda s, i:
+def segments(path: str = "path", last_slug: bool = True) -> str:
+    """SQL of a path's pattern; last_slug also replaces a plain last segment."""
+    parts = f"string_split(regexp_replace({path}, '^/+|/+$', '', 'g'), '/')"
+    last = f"WHEN i = len({parts}) AND regexp_matches(s, '^[A-Za-z0-9_-]+$') THEN '{{slug}}'" if last_slug else ""
+    return f"""'/' || array_to_string(list_transform({parts}, lambda s, i:
         CASE WHEN regexp_matches(s, '^[A-Z0-9]{{8,}}$') THEN '{{sku}}' WHEN regexp_matches(s, '^[a-z0-9]+-[a-z0-9-]+$') THEN '{{slug}}'
              WHEN regexp_matches(s, '^[0-9]+$') THEN '{{id}}' {last} ELSE s END), '/')"""
 
 
-_LAST = "WHEN i = len(string_split(regexp_replace(path, '^/+|/+$', '', 'g'), '/')) AND regexp_matches(s, '^[A-Za-z0-9_-]+$') THEN '{slug}'"
-
-
 def _each(name: str, column: str, build, sql: str) -> None:
     """A query of id and one computed column over all URLs."""
     query(name, f"WITH {_U} SELECT id, {sql} AS {column} FROM p")(lambda spark, d: T.urls(spark, d).select("id", build(F.col("url")).alias(column)))
@@ -40,8 +40,8 @@ _each("url_path", "path", U.path, "path")
 _each("url_class", "url_class", U.url_class, _CLASS)
 _each("url_score", "score", U.url_score, _SCORE)
 _each("url_topic", "topic", lambda u: U.url_topic(U.url_score(u)), _TOPIC)
-_each("url_pattern", "pattern", lambda u: U.path_pattern(U.path(u)), _segments(_LAST))
-_each("url_pattern_cache", "pattern", lambda u: U.path_pattern(U.path(u), last_slug=False), _segments(""))
+_each("url_pattern", "pattern", lambda u: U.path_pattern(U.path(u)), segments())
+_each("url_pattern_cache", "pattern", lambda u: U.path_pattern(U.path(u), last_slug=False), segments(last_slug=False))
 _each("url_ttl", "ttl", U.url_ttl, f"CASE WHEN {_has(U.TTL_PRODUCT)} THEN 3600 WHEN {_has(U.TTL_LISTING)} THEN 21600 WHEN {_has(U.TTL_ARTICLE)} THEN 86400 ELSE 3600 END")
 _each("url_is_article", "is_article", U.is_article, _has(U.ARTICLE))
 _each("url_dedup_key", "key", U.dedup_key, "left(sha256(url), 16)")
