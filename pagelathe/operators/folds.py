@@ -1,62 +1,143 @@
 """Ordered per-key computations: admission, politeness, time-to-live deduplication, smoothing, control and breakers.
 
-Three forms keep a hot key from piling up in memory:
-
-- Admission, politeness and deduplication forget everything after a silence as long as their window. Events are cut into
-  islands at such silences (a window function, which streams), and only an island is folded at a time.
-- Smoothing and control work on time buckets, which are summed before the shuffle.
-- Breakers and increase/decrease control need every event. They run over partitions sorted by key and time and hold one
-  state, not the events.
+A Fold is a state machine over a key's rows in order. In batch, rows are dealt by key and sorted in their partition, and a
+task holds the state of the key at hand, never a key's rows; streams keep the same state from batch to batch
+(pagelathe.streaming.stateful). A fold takes whole columns of a key's run of rows and skips ahead where it can, so admission
+and spacing cost a step for each admitted row only. One key's rows are one chain, so they stay in one task, which reads
+them in sequence; what is a sum and no chain is not folded here (see decayed_mean, which splits a hot key by time).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+State = tuple
 
-def islands(df: DataFrame, key: str, ts: str, order: str, seconds: float) -> DataFrame:
-    """df with a column island that counts a key's silences of at least so many seconds."""
-    w = Window.partitionBy(key).orderBy(ts, order)
-    gap = F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(w)
-    return df.withColumn("__new", F.when(gap >= int(seconds * 1e6), 1).otherwise(0)).withColumn("island", F.sum("__new").over(w)).drop("__new")
 
+class Fold(NamedTuple):
+    """run(state, columns) gives the state after some rows of a key and an output for each; columns are numpy arrays.
 
-def _fold(df: DataFrame, key: str, ts: str, order: str, seconds: float, start: Column, step: Callable[[Column, Column], Column], result: Callable[[Column], Column]) -> DataFrame:
-    """(key, order column, verdict): a fold over each island's events in order; result gives the array of verdicts."""
-    events = islands(df.select(key, ts, order), key, ts, order, seconds)
-    lists = events.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("t"), F.col(order).alias("o")))).alias("e"))
-    return lists.select(key, F.inline(F.arrays_zip(F.transform("e", lambda x: x["o"]).alias("o"), F.aggregate("e", start, step, result).alias("ok")))).select(key, F.col("o").alias(order), "ok")
+    state is the DDL of the state, start its first value, kind the type of the outputs. expires(state) is the time, in the
+    unit of the first column, after which the state equals start for any later row; None if it never does.
+    """
 
+    state: str
+    start: State
+    kind: str
+    run: Callable[[State, list[np.ndarray]], tuple[State, list]]
+    expires: Callable[[State], float | None] = lambda _: None
+
+
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64()}
+
+
+def ordered(df: DataFrame, key: str, order: list[str], columns: list[str], fold: Fold, out: str) -> DataFrame:
+    """(key, last of order, out): fold over each key's rows in order, given columns. Rows with a null key make one chain."""
+    name = order[-1]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: Any = object()
+        state = fold.start
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            runs = pc.run_end_encode(batch.column(key))
+            results: list = []
+            begin = 0
+            for k, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if k != at:
+                    at, state = k, fold.start
+                state, found = fold.run(state, [a[begin:end] for a in arrays])
+                results += found
+                begin = end
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(name), pa.array(results, _ARROW[fold.kind])], [key, name, out])
+
+    picked = df.select(key, *order, *(c for c in columns if c not in order))
+    dealt = picked.repartition(F.col(key)).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(run, f"`{key}` {types[key]}, `{name}` {types[name]}, `{out}` {fold.kind}")
+
+
+# ---- admission
+
+
+def admission(us: int, most: int) -> Fold:
+    """Greedy sliding window over times: admitted if fewer than most rows were admitted in the us microseconds before."""
+
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        t = columns[0]
+        ok = np.zeros(len(t), dtype=bool)
+        live, i = list(s[0]), 0
+        while i < len(t):
+            if len(live) >= most:  # the row after which the oldest of the last most admitted has left the window
+                i = max(i, int(np.searchsorted(t, live[-most] + us, "left")))
+                if i >= len(t):
+                    break
+            ok[i] = True
+            live = [*live[-most + 1 :], int(t[i])] if most > 1 else [int(t[i])]
+            i += 1
+        return (live,), ok.tolist()
+
+    return Fold("admitted array<bigint>", ([],), "boolean", run, lambda s: s[0][-1] + us if s[0] else None)
 
-def admit(df: DataFrame, key: str, ts: str, order: str, most: int, seconds: float = 1.0) -> DataFrame:
-    """Greedy sliding window: an event is admitted if fewer than most were admitted in the seconds before it."""
-    span = int(seconds * 1e6)
-    start = F.struct(F.array().cast("array<bigint>").alias("w"), F.array().cast("array<boolean>").alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        live = F.filter(acc["w"], lambda t: t > x["t"] - span)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.array_append(live, x["t"])).otherwise(live).alias("w"), F.array_append(acc["v"], ok).alias("v"))
+def spacing(us: int) -> Fold:
+    """Allowed when us microseconds have passed since the last allowed row: politeness, or deduplication by key."""
+    one = admission(us, 1)
 
-    return _fold(df, key, ts, order, seconds, start, step, lambda a: a["v"])
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        (live,), ok = one.run(([] if s[0] is None else [s[0]],), columns)
+        return (live[0] if live else None,), ok
+
+    return Fold("last bigint", (None,), "boolean", run, lambda s: None if s[0] is None else s[0] + us)
+
+
+def _timed(df: DataFrame, key: str, ts: str, order: str) -> DataFrame:
+    return df.select(key, F.unix_micros(ts).alias("__t"), order)
+
+
+def admit(df: DataFrame, key: str, ts: str, order: str, most: int, seconds: float = 1.0) -> DataFrame:
+    """(key, order, ok) by admission."""
+    return ordered(_timed(df, key, ts, order), key, ["__t", order], ["__t"], admission(int(seconds * 1e6), most), "ok")
 
 
 def spaced(df: DataFrame, key: str, ts: str, order: str, seconds: float = 1.0) -> DataFrame:
-    """An event is allowed if at least so many seconds have passed since the last allowed one; that is also what
-    deduplication with a time to live from the first sighting does (key is then the URL)."""
-    span = int(seconds * 1e6)
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<boolean>").alias("v"))
+    """(key, order, ok) by spacing; with the URL as key, deduplication with a time to live from the first sighting."""
+    return ordered(_timed(df, key, ts, order), key, ["__t", order], ["__t"], spacing(int(seconds * 1e6)), "ok")
+
+
+def waiting(us: int, most: int, timeout: int) -> Fold:
+    """Microseconds that a row waits for a slot; null if that reaches timeout, and then it takes none.
+
+    Rows queue in order. Each takes the first time, not before its own or the last one taken, at which fewer than most
+    slots were taken in the us before; a slot counts from when it is taken.
+    """
+
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        taken, out = list(s[0]), []
+        for t in columns[0].tolist():
+            at = max(t, taken[-1]) if taken else t
+            if len(taken) >= most:
+                at = max(at, taken[-most] + us)
+            if at - t < timeout:
+                taken = [*taken, at][-most:]
+                out.append(at - t)
+            else:
+                out.append(None)
+        return (taken,), out
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["last"].isNull() | (x["t"] - acc["last"] >= span)
-        return F.struct(F.when(ok, x["t"]).otherwise(acc["last"]).alias("last"), F.array_append(acc["v"], ok).alias("v"))
+    return Fold("taken array<bigint>", ([],), "bigint", run, lambda s: s[0][-1] + us if s[0] else None)
 
-    return _fold(df, key, ts, order, seconds, start, step, lambda a: a["v"])
+
+# ---- smoothing and control
 
 
 def buckets(log: DataFrame, seconds: int, by: str = "domain") -> DataFrame:
@@ -73,155 +154,168 @@ def raw_ban(block: Column, captcha: Column, failure: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.4 * block + 0.4 * captcha + 0.2 * (failure * 0.5)))
 
 
-def ema(df: DataFrame, key: str, order: str, value: Column, keep: float = 0.7, start: float = 0.0) -> DataFrame:
-    """(key, order, score): keep of the score before and the rest of the new value, along a key's buckets."""
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("x")))).alias("e"))
+def smoothing(keep: float = 0.7, start: float = 0.0) -> Fold:
+    """keep of the score before and the rest of the new value."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = acc["last"] * keep + x["x"] * (1 - keep)
-        return F.struct(last.alias("last"), F.array_append(acc["v"], F.struct(x["o"].alias("o"), last.alias("s"))).alias("v"))
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        (score,), out = s, []
+        for x in columns[-1].tolist():
+            score = score * keep + x * (1 - keep)
+            out.append(score)
+        return (score,), out
 
-    kind = df.schema[order].dataType.simpleString()
-    init = F.struct(F.lit(start).alias("last"), F.array().cast(f"array<struct<o:{kind},s:double>>").alias("v"))
-    return lists.select(key, F.inline(F.aggregate("e", init, step, lambda a: a["v"]))).select(key, F.col("o").alias(order), F.col("s").alias("score"))
+    return Fold("score double", (start,), "double", run)
 
 
-def pid(df: DataFrame, key: str, order: str, block: Column, ban: Column, dt: float = 10.0, target: float = 0.05, kp: float = 0.5, ki: float = 0.1, kd: float = 0.05, qps: float = 1.0, low: float = 0.1, high: float = 10.0) -> DataFrame:
-    """(key, order, qps): rate control toward a target block rate along a key's buckets.
+def control(dt: float = 10.0, target: float = 0.05, kp: float = 0.5, ki: float = 0.1, kd: float = 0.05, qps: float = 1.0, low: float = 0.1, high: float = 10.0, keep: float = 0.0) -> Fold:
+    """Rate control toward a target block rate; the last two columns are the block rate and the ban score.
 
-    Errors under 0.05 leave the state as it is, also when the ban score would brake. The integral is kept in [-2, 2].
+    With keep, the block rate is smoothed first. Errors under 0.05 leave the state as it is, also when the ban score would
+    brake. The integral is kept in [-2, 2].
     """
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b"), ban.alias("s")))).alias("e"))
-    kind = df.schema[order].dataType.simpleString()
-    init = F.struct(F.lit(0.0).alias("i"), F.lit(0.0).alias("last"), F.lit(qps).alias("q"), F.array().cast(f"array<struct<o:{kind},q:double>>").alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        error = target - x["b"]
-        quiet = F.abs(error) < 0.05
-        i = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), acc["i"] + error * dt))
-        out = kp * error + ki * i + kd * (error - acc["last"]) / dt
-        moved = F.greatest(F.lit(low), F.least(F.lit(high), acc["q"] + out * acc["q"]))
-        q = F.when(quiet, acc["q"]).when(x["s"] > 0.7, low).otherwise(moved)
-        return F.struct(F.when(quiet, acc["i"]).otherwise(i).alias("i"), F.when(quiet, acc["last"]).otherwise(error).alias("last"), q.alias("q"), F.array_append(acc["v"], F.struct(x["o"].alias("o"), q.alias("q"))).alias("v"))
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        (smooth, i, last, q), out = s, []
+        for block, ban in zip(columns[-2].tolist(), columns[-1].tolist(), strict=True):
+            smooth = smooth * keep + block * (1 - keep) if keep else block
+            error = target - smooth
+            if abs(error) >= 0.05:
+                i = max(-2.0, min(2.0, i + error * dt))
+                if ban > 0.7:
+                    q = low
+                else:
+                    q = max(low, min(high, q + (kp * error + ki * i + kd * (error - last) / dt) * q))
+                last = error
+            out.append(q)
+        return (smooth, i, last, q), out
 
-    return lists.select(key, F.inline(F.aggregate("e", init, step, lambda a: a["v"]))).select(key, F.col("o").alias(order), F.col("q").alias("qps"))
+    return Fold("smooth double, i double, last double, q double", (0.0, 0.0, 0.0, qps), "double", run)
 
 
-# ---- folds over every event, one state at a time
+def ema(df: DataFrame, key: str, order: str, value: Column, keep: float = 0.7, start: float = 0.0) -> DataFrame:
+    """(key, order, score): smoothing along a key's buckets."""
+    return ordered(df.select(key, order, value.alias("__x")), key, [order], ["__x"], smoothing(keep, start), "score")
 
-State = Any
-Step = Callable[[State, dict], tuple[State, Any]]
 
+def pid(df: DataFrame, key: str, order: str, block: Column, ban: Column, **settings: float) -> DataFrame:
+    """(key, order, qps): control along a key's buckets."""
+    return ordered(df.select(key, order, block.alias("__b"), ban.alias("__s")), key, [order], ["__b", "__s"], control(**settings), "qps")
 
-def ordered(df: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], State], step: Step, out: str, kind: str) -> DataFrame:
-    """(key, last of order, out): step(state, row) -> (state, output) along each key's rows in order.
 
-    Rows are dealt by key and sorted in their partition; a task holds the state of the key at hand only.
+def decayed_mean(df: DataFrame, key: str, ts: str, order: str, value: Column, keep: float, start: float, seconds: int = 3600) -> DataFrame:
+    """(key, score): smoothing after the last row of each key, as a sum: a row weighs (1 - keep) * keep ** (rows after it).
+
+    Rows are ranked within a time bucket only, and buckets by their counts, so a hot key is spread over its buckets.
     """
-    name = order[-1]
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    arrow = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "bigint": pa.int64(), "long": pa.int64()}[kind]
+    bucket = F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
+    rows = df.select(key, F.col(ts).alias("__ts"), F.col(order).alias("__o"), bucket.alias("__b"), value.cast("double").alias("__x"))
+    latest = Window.partitionBy(key, "__b").orderBy(F.desc("__ts"), F.desc("__o"))
+    within = rows.withColumn("__after", F.row_number().over(latest) - 1)
+    sums = within.groupBy(key, "__b").agg(F.count("*").alias("__n"), F.sum(F.lit(1 - keep) * F.pow(F.lit(keep), "__after") * F.col("__x")).alias("__s"))
+    later = Window.partitionBy(key).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    shifted = sums.withColumn("__later", F.coalesce(F.sum("__n").over(later), F.lit(0)))
+    total = F.sum(F.col("__s") * F.pow(F.lit(keep), "__later")) + F.lit(start) * F.pow(F.lit(keep), F.sum("__n"))
+    return shifted.groupBy(key).agg(total.alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = object(), None
-        for batch in batches:
-            results = []
-            rows = batch.to_pylist()
-            for row in rows:
-                if row[key] != at:
-                    at, state = row[key], start()
-                state, value = step(state, row)
-                results.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(name), pa.array(results, arrow)], [key, name, out])
 
-    picked = df.select(key, *order, *(c for c in columns if c not in order))
-    dealt = picked.repartition(F.col(key)).sortWithinPartitions(key, *order)
-    return dealt.mapInArrow(run, f"`{key}` {types[key]}, `{name}` {types[name]}, `{out}` {kind}")
+# ---- breakers; the columns are the time in seconds and whether the row succeeded
 
 
-def domain_breaker(threshold: int = 10, cooldown: float = 60.0, probes: int = 3, forget: float = 3600.0):
-    """State and step of a domain's breaker over rows with t (seconds) and ok; the output is the state after the row.
+def domain_breaker(threshold: int = 10, cooldown: float = 60.0, probes: int = 3, forget: float = 3600.0) -> Fold:
+    """A domain's breaker; the output is the state after the row.
 
     Each row first asks whether it may run; a row that may not leaves the state alone and gives "open". A success in
     the state that has never been set does not clear the failures; failures older than forget are forgotten when the
     next one comes later than that.
     """
 
-    def step(s: dict, row: dict) -> tuple[dict, str]:
-        t = row["t"]
-        if s["state"] == "open":
-            if t - s["opened"] < cooldown:
-                return s, "open"
-            s["state"], s["probes"] = "half_open", 0
-        elif s["state"] == "half_open":
-            s["probes"] += 1
-            if s["probes"] > probes:
-                return s, "half_open"
-        if row["ok"]:
-            if s["state"] == "half_open":
-                s.update(state="closed", failures=0, probes=0)
-            elif s["state"] == "closed":
-                s["failures"] = 0
-        elif s["state"] == "half_open":
-            s.update(state="open", opened=t)
-        else:
-            s["failures"] = 1 if s["at"] is not None and t - s["at"] > forget else s["failures"] + 1
-            s["at"] = t
-            if s["failures"] >= threshold:
-                s.update(state="open", opened=t)
-        return s, s["state"] or "closed"
-
-    return lambda: {"state": None, "failures": 0, "opened": 0.0, "probes": 0, "at": None}, step
-
-
-def lazy_breaker(threshold: int = 10, cooldown: float = 60.0):
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        (state, failures, opened, tried, at), out = s, []
+        for t, ok in zip(columns[0].tolist(), columns[1].tolist(), strict=True):
+            if state == "open":
+                if t - opened < cooldown:
+                    out.append("open")
+                    continue
+                state, tried = "half_open", 0
+            elif state == "half_open":
+                tried += 1
+                if tried > probes:
+                    out.append("half_open")
+                    continue
+            if ok:
+                if state == "half_open":
+                    state, failures, tried = "closed", 0, 0
+                elif state == "closed":
+                    failures = 0
+            elif state == "half_open":
+                state, opened = "open", t
+            else:
+                failures = 1 if at is not None and t - at > forget else failures + 1
+                at = t
+                if failures >= threshold:
+                    state, opened = "open", t
+            out.append(state or "closed")
+        return (state, failures, opened, tried, at), out
+
+    return Fold("state string, failures int, opened double, probes int, at double", (None, 0, 0.0, 0, None), "string", run)
+
+
+def lazy_breaker(threshold: int = 10, cooldown: float = 60.0) -> Fold:
     """A breaker that is evaluated after every row: half open closes once no failure stands."""
 
-    def step(s: dict, row: dict) -> tuple[dict, str]:
-        s["failures"] = 0 if row["ok"] else s["failures"] + 1
-        if s["state"] == "closed" and s["failures"] >= threshold:
-            s.update(state="open", opened=row["t"])
-        elif s["state"] == "open":
-            if row["t"] - s["opened"] >= cooldown:
-                s["state"] = "half_open"
-        elif s["state"] == "half_open" and s["failures"] == 0:
-            s["state"] = "closed"
-        return s, s["state"]
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        (state, failures, opened), out = s, []
+        for t, ok in zip(columns[0].tolist(), columns[1].tolist(), strict=True):
+            failures = 0 if ok else failures + 1
+            if state == "closed" and failures >= threshold:
+                state, opened = "open", t
+            elif state == "open":
+                if t - opened >= cooldown:
+                    state = "half_open"
+            elif state == "half_open" and failures == 0:
+                state = "closed"
+            out.append(state)
+        return (state, failures, opened), out
 
-    return lambda: {"state": "closed", "failures": 0, "opened": 0.0}, step
+    return Fold("state string, failures int, opened double", ("closed", 0, 0.0), "string", run)
 
 
-def component_breaker(threshold: int = 5, cooldown: float = 30.0):
+def component_breaker(threshold: int = 5, cooldown: float = 30.0) -> Fold:
     """A breaker in memory: open turns half open after the cooldown, any success closes it, and failures in half open
     never open it again."""
 
-    def step(s: dict, row: dict) -> tuple[dict, str]:
-        if s["state"] == "open" and row["t"] - s["opened"] >= cooldown:
-            s.update(state="half_open", failures=0)
-        if row["ok"]:
-            s.update(state="closed", failures=0)
-        else:
-            s["failures"] += 1
-            if s["failures"] >= threshold and s["state"] == "closed":
-                s.update(state="open", opened=row["t"])
-        return s, s["state"]
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        (state, failures, opened), out = s, []
+        for t, ok in zip(columns[0].tolist(), columns[1].tolist(), strict=True):
+            if state == "open" and t - opened >= cooldown:
+                state, failures = "half_open", 0
+            if ok:
+                state, failures = "closed", 0
+            else:
+                failures += 1
+                if failures >= threshold and state == "closed":
+                    state, opened = "open", t
+            out.append(state)
+        return (state, failures, opened), out
 
-    return lambda: {"state": "closed", "failures": 0, "opened": 0.0}, step
+    return Fold("state string, failures int, opened double", ("closed", 0, 0.0), "string", run)
 
 
-def aimd(most: float = 5.0, least: float = 1.0):
+def aimd(most: float = 5.0, least: float = 1.0) -> Fold:
     """Concurrency: half a slot more after eight successes in a row, half of it after two failures in a row."""
 
-    def step(s: list, row: dict) -> tuple[list, float]:
-        now, good, bad = s
-        if row["ok"]:
-            good, bad = good + 1, 0
-            if good >= 8:
-                now, good = min(most, now + 0.5), 0
-        else:
-            good, bad = 0, bad + 1
-            if bad >= 2:
-                now, bad = max(least, now / 2), 0
-        return [now, good, bad], now
-
-    return lambda: [most, 0, 0], step
+    def run(s: State, columns: list[np.ndarray]) -> tuple[State, list]:
+        (now, good, bad), out = s, []
+        for ok in columns[-1].tolist():
+            if ok:
+                good, bad = good + 1, 0
+                if good >= 8:
+                    now, good = min(most, now + 0.5), 0
+            else:
+                good, bad = 0, bad + 1
+                if bad >= 2:
+                    now, bad = max(least, now / 2), 0
+            out.append(now)
+        return (now, good, bad), out
+
+    return Fold("slots double, good int, bad int", (most, 0, 0), "double", run)

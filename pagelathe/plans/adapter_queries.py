@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pagelathe.operators import folds
 from pagelathe.operators.cascade import extract
 from pagelathe.operators.model_tiers import heal_rules, read_screenshots
+from pagelathe.plans.fold_queries import LOOP
 from pagelathe.plans.registry import query
 from pagelathe.sources import blobs, messages
 from pagelathe.sources import tables as T
-from pagelathe.streaming import stateful
-from pagelathe.streaming.sources import run_available, shared_dir, stream_table
+from pagelathe.streaming.sources import run_available, shared_dir
 
 
 def _path(spark, name: str) -> str:
@@ -111,23 +112,10 @@ def partition_pick(spark, d):
     return sizes.agg(F.sum("count").alias("rows"), (F.max("count") - F.min("count") <= 64).alias("even"))
 
 
-@query("st_pid_loop")
+@query("st_pid_loop", LOOP)
 def st_pid_loop(spark, d):
-    """Rate control over a stream: a rate after every fetch, from a smoothed block indicator."""
-    e = stream_table(spark, d, "events")
-    log = spark.sql(T.FETCH_LOG.replace("FROM events", "FROM {events}"), events=e)
-    log = log.select("domain", F.unix_micros("ts").alias("t"), "event_id", F.when(F.col("status_code").isin(403, 429), 1.0).otherwise(0.0).alias("x"))
-
-    def step(s: tuple, row) -> tuple[tuple, float]:
-        block, i, last, q = s
-        block = block * 0.9 + row.x * 0.1
-        error = 0.05 - block
-        if abs(error) >= 0.05:
-            i = max(-2.0, min(2.0, i + error * 10))
-            q = max(0.1, min(10.0, q + q * (0.5 * error + 0.1 * i + 0.05 * (error - last) / 10)))
-            last = error
-        return (block, i, last, q), q
-
-    return run_available(stateful.fold_stream(log, "domain", ["t", "event_id"], "block double, i double, last double, q double", (0.0, 0.0, 0.0, 1.0), step, "qps", "double"))
-
-
+    """A rate after every fetch, controlled by the smoothed block indicator."""
+    blocked = F.when(F.col("status_code").isin(403, 429), 1.0).otherwise(0.0)
+    log = T.fetch_log(spark, d).select("domain", "ts", "event_id", blocked.alias("x"), F.lit(0.0).alias("ban"))
+    rates = folds.ordered(log, "domain", ["ts", "event_id"], ["x", "ban"], folds.control(keep=0.9), "qps")
+    return rates.select("domain", "event_id", F.round("qps", 6).alias("qps"))

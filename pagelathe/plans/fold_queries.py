@@ -74,12 +74,23 @@ def st_pid(spark, d):
     return rates.groupBy("domain").agg(F.round(F.max_by("qps", "bucket"), 6).alias("qps"))
 
 
+_ERR = "(0.05::DOUBLE - (a.s * 0.9::DOUBLE + x.x * (1 - 0.9::DOUBLE)))"
+_INT = f"greatest(-2.0::DOUBLE, least(2.0::DOUBLE, a.i + {_ERR} * 10))"
+_RATE = f"CASE WHEN abs({_ERR}) < 0.05 THEN a.q ELSE greatest(0.1::DOUBLE, least(10.0::DOUBLE, a.q + (0.5::DOUBLE * {_ERR} + 0.1::DOUBLE * {_INT} + 0.05::DOUBLE * ({_ERR} - a.last) / 10) * a.q)) END"
+#: SQL of the rate after every fetch, controlled by the smoothed block indicator.
+LOOP = f"""WITH {_L}, l AS (SELECT domain, list({{'o': event_id, 'x': CASE WHEN status_code IN (403, 429) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 's': 0.0::DOUBLE, 'i': 0.0::DOUBLE, 'last': 0.0::DOUBLE, 'q': 1.0::DOUBLE, 'v': []::DOUBLE[]}} ORDER BY ts, event_id) AS e FROM f GROUP BY domain),
+r AS (SELECT domain, list_transform(e, lambda y: y.o) AS o, list_reduce(e, lambda a, x: {{'o': x.o, 'x': x.x, 's': a.s * 0.9::DOUBLE + x.x * (1 - 0.9::DOUBLE),
+  'i': CASE WHEN abs({_ERR}) < 0.05 THEN a.i ELSE {_INT} END, 'last': CASE WHEN abs({_ERR}) < 0.05 THEN a.last ELSE {_ERR} END, 'q': {_RATE}, 'v': list_append(a.v, {_RATE})}},
+  {{'o': 0::BIGINT, 'x': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'i': 0.0::DOUBLE, 'last': 0.0::DOUBLE, 'q': 1.0::DOUBLE, 'v': []::DOUBLE[]}}).v AS v FROM l)
+SELECT domain, event_id, round(q, 6) AS qps FROM (SELECT domain, unnest(o) AS event_id, unnest(v) AS q FROM r)"""
+
+
 def _outcomes(spark, d):
     return T.fetch_log(spark, d).select("domain", "proxy_id", "ts", "event_id", (F.unix_micros("ts") / 1e6).alias("t"), R.is_success(F.col("status_code")).alias("ok"), (F.col("status_code") == 403).alias("ban"))
 
 
-def _fold(name: str, make, out: str, kind: str, oracle: str):
-    query(name, oracle)(lambda spark, d: S.ordered(_outcomes(spark, d), "domain", ["ts", "event_id"], ["t", "ok"], *make(), out, kind))
+def _fold(name: str, fold: S.Fold, out: str, oracle: str):
+    query(name, oracle)(lambda spark, d: S.ordered(_outcomes(spark, d), "domain", ["ts", "event_id"], ["t", "ok"], fold, out))
 
 
 def _breaker(fields: dict[str, tuple[str, str]], allowed: str = "true") -> str:
@@ -124,9 +135,9 @@ def _domain(threshold: int, cooldown: int, probes: int, forget: int) -> str:
     return _breaker({"state": ("''", state), "failures": ("0", failures), "opened": ("0.0::DOUBLE", opened), "probes": ("0", tries), "at": ("NULL::DOUBLE", at)})
 
 
-_fold("st_breaker", lambda: S.domain_breaker(4, 7200.0, 3, 86400.0), "state", "string", _domain(4, 7200, 3, 86400))
-_fold("st_breaker2", lambda: S.lazy_breaker(4, 7200.0), "state", "string", _lazy(4, 7200))
-_fold("breaker_op", lambda: S.component_breaker(3, 3600.0), "state", "string", _component(3, 3600))
+_fold("st_breaker", S.domain_breaker(4, 7200.0, 3, 86400.0), "state", _domain(4, 7200, 3, 86400))
+_fold("st_breaker2", S.lazy_breaker(4, 7200.0), "state", _lazy(4, 7200))
+_fold("breaker_op", S.component_breaker(3, 3600.0), "state", _component(3, 3600))
 
 
 @query(
@@ -138,7 +149,7 @@ r AS (SELECT domain, list_reduce(e, lambda a, x: {{'o': x.o, 'ok': x.ok,
 )
 def st_aimd(spark, d):
     """The concurrency of domains after their last fetch."""
-    all_ = S.ordered(_outcomes(spark, d), "domain", ["ts", "event_id"], ["ok"], *S.aimd(), "slots", "double")
+    all_ = S.ordered(_outcomes(spark, d), "domain", ["ts", "event_id"], ["ok"], S.aimd(), "slots")
     return all_.groupBy("domain").agg(F.max_by("slots", "event_id").alias("slots"))
 
 
@@ -149,15 +160,9 @@ def st_aimd(spark, d):
 def st_identity(spark, d):
     """A smoothed success rate, from 1, and a ban score that grows by 0.001 up to 1."""
     o = _outcomes(spark, d)
-
-    def step(s: float, row: dict) -> tuple[float, float]:
-        s = s * 0.9 + (0.1 if row["ok"] else 0.0)
-        return s, s
-
-    rates = S.ordered(o, "proxy_id", ["ts", "event_id"], ["ok"], lambda: 1.0, step, "rate", "double")
-    last = rates.groupBy("proxy_id").agg(F.round(F.max_by("rate", "event_id"), 6).alias("success_rate"))
+    rates = S.decayed_mean(o, "proxy_id", "ts", "event_id", F.col("ok").cast("int"), keep=0.9, start=1.0)
     bans = o.groupBy("proxy_id").agg(F.round(F.least(F.lit(1.0), 0.001 * F.count_if("ban")), 6).alias("ban_score"))
-    return last.join(bans, "proxy_id")
+    return rates.select("proxy_id", F.round("score", 6).alias("success_rate")).join(bans, "proxy_id")
 
 
 @query("st_qps", "SELECT s_suppkey, least(10.0, greatest(0.1, s_acctbal / 500)) AS qps FROM supplier")
@@ -235,14 +240,22 @@ def sm_profile(spark, d):
     return c.select("c_custkey", categorical(F.col("c_custkey"), {"desktop": 0.6, "mobile": 0.3, "tablet": 0.1}, seed=7).alias("profile"))
 
 
-@query("st_wait", f"WITH {_L}, w AS (SELECT event_id, ts, lag(ts, 2) OVER (PARTITION BY domain ORDER BY ts, event_id) AS before FROM f) SELECT event_id, CASE WHEN before > ts - INTERVAL 10 HOUR THEN epoch_us(before + INTERVAL 10 HOUR - ts) // 1000000 ELSE 0 END AS wait_s FROM w")
-def st_wait(spark, d):
-    """How long an event would wait for one of two slots in ten hours if every event took one."""
-    from pyspark.sql import Window
+_AT = "greatest(x.t, coalesce(a.w[-1], x.t), CASE WHEN len(a.w) >= 2 THEN a.w[-2] + 36000000000 ELSE x.t END)"
 
-    w = Window.partitionBy("domain").orderBy("ts", "event_id")
-    left = F.unix_micros(F.lag("ts", 2).over(w)) + 36_000_000_000 - F.unix_micros("ts")
-    return T.fetch_log(spark, d).select("event_id", F.when(left > 0, F.floor(left / 1_000_000)).otherwise(F.lit(0)).cast("long").alias("wait_s"))
+
+@query(
+    "st_wait",
+    f"""WITH {_L}, l AS (SELECT domain, list({{'t': epoch_us(ts), 'o': event_id, 'w': []::BIGINT[], 'v': []::BIGINT[]}} ORDER BY ts, event_id) AS e FROM f GROUP BY domain),
+r AS (SELECT list_transform(e, lambda x: x.o) AS o, list_reduce(e, lambda a, x: {{'t': x.t, 'o': x.o,
+  'w': CASE WHEN {_AT} - x.t < 72000000000 THEN list_append(a.w, {_AT}) ELSE a.w END,
+  'v': list_append(a.v, CASE WHEN {_AT} - x.t < 72000000000 THEN {_AT} - x.t END)}}, {{'t': 0::BIGINT, 'o': 0::BIGINT, 'w': []::BIGINT[], 'v': []::BIGINT[]}}).v AS v FROM l)
+SELECT event_id, v // 1000000 AS wait_s, v IS NOT NULL AS admitted FROM (SELECT unnest(o) AS event_id, unnest(v) AS v FROM r)""",
+)
+def st_wait(spark, d):
+    """How long a fetch waits for one of two slots of its domain in ten hours; after twenty hours it gives up."""
+    log = T.fetch_log(spark, d).select("domain", F.unix_micros("ts").alias("t"), "event_id")
+    waits = S.ordered(log, "domain", ["t", "event_id"], ["t"], S.waiting(36_000_000_000, 2, 72_000_000_000), "v")
+    return waits.select("event_id", F.floor(F.col("v") / 1_000_000).cast("long").alias("wait_s"), F.col("v").isNotNull().alias("admitted"))
 
 
 @query("st_cookie", f"WITH {_L} SELECT domain, arg_max('sid=' || CAST(event_id AS STRING), event_id) AS cookies FROM f WHERE status_code = 200 AND ts > (SELECT max(ts) FROM f) - INTERVAL 30 DAY GROUP BY domain")

@@ -1,79 +1,78 @@
-"""Ordered per-key state over streams. Rows of a key within a micro-batch are taken in event-time order; state is kept
-from batch to batch, so a run in many batches equals one in a single batch as long as batches follow event time."""
+"""Ordered per-key folds over streams, with the state machines of pagelathe.operators.folds.
+
+Rows of a key are folded in event-time order. A row waits in the state until no earlier one can come: until late has passed
+since the key's newest row or the watermark has reached it. Rows later than the watermark are dropped, as Spark does for
+every stateful operator. A key leaves the state store by an event-time timer, once its fold has expired or it has been
+idle; so the store holds live keys only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+import datetime as dt
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-Step = Callable[[tuple, Any], tuple[tuple, Any]]
-
-
-def fold_stream(stream: DataFrame, key: str, order: list[str], state: str, start: tuple, step: Step, out: str, kind: str) -> DataFrame:
-    """(key, last of order, out): step(state, row) -> (state, output) for each row."""
-    name = order[-1]
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else start
-        rows = pd.concat(list(frames)).sort_values(order)
-        results = []
-        for row in rows.itertuples(index=False):
-            now, value = step(now, row)
-            results.append(value)
-        held.update(now)
-        yield pd.DataFrame({key: [k[0]] * len(rows), name: rows[name].to_numpy(), out: results})
-
-    return stream.groupBy(key).applyInPandasWithState(run, f"`{key}` {types[key]}, `{name}` {types[name]}, `{out}` {kind}", state, "append", GroupStateTimeout.NoTimeout)
-
-
-def spaced(us: int) -> tuple[str, tuple, Step]:
-    """Allowed when us microseconds have passed since the last allowed row: politeness, or deduplication by key."""
+from pagelathe.operators.folds import Fold
 
-    def step(s: tuple, row) -> tuple[tuple, bool]:
-        ok = s[0] is None or row.t - s[0] >= us
-        return ((int(row.t),) if ok else s), ok
+_INTERVAL = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
-    return "last long", (None,), step
 
+def _micros(interval: str) -> int:
+    n, unit = interval.split()
+    return int(dt.timedelta(seconds=float(n) * _INTERVAL[unit.rstrip("s")]) / dt.timedelta(microseconds=1))
 
-def admit(us: int, most: int) -> tuple[str, tuple, Step]:
-    """Admitted when fewer than most rows were admitted in the us microseconds before."""
 
-    def step(s: tuple, row) -> tuple[tuple, bool]:
-        live = [t for t in s[0] if t > row.t - us]
-        ok = len(live) < most
-        return (live + [int(row.t)] if ok else live,), ok
+def fold_stream(stream: DataFrame, key: str, ts: str, order: str, columns: list[str], fold: Fold, out: str, late: str = "0 seconds", idle: str = "30 days") -> DataFrame:
+    """(key, order, out): fold over each key's rows by ts, then order.
 
-    return "admitted array<long>", ([],), step
-
-
-def smoothed(keep: float) -> tuple[str, tuple, Step]:
-    def step(s: tuple, row) -> tuple[tuple, float]:
-        score = s[0] * keep + row.x * (1 - keep)
-        return (score,), score
-
-    return "score double", (0.0,), step
-
-
-def breaker(threshold: int, cooldown_us: int) -> tuple[str, tuple, Step]:
-    """closed, open, half_open: opens after failures in a row, probes after the cooldown."""
-
-    def step(s: tuple, row) -> tuple[tuple, str]:
-        state, failures, opened = s
-        if state == "open" and row.t - opened >= cooldown_us:
-            state, failures = "half_open", 0
-        if state != "open":
-            if row.ok:
-                state, failures = "closed", 0
-            else:
-                failures += 1
-                if state == "half_open" or failures >= threshold:
-                    state, opened = "open", int(row.t)
-        return (state, failures, opened), state
+    The fold takes the time in microseconds and then columns, so its spans are in microseconds too. late is how far a row may come behind the newest one; idle is how long a key whose fold has no end of its own
+    is kept after its newest row. A key that comes back later starts anew.
+    """
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    span, rest = _micros(late), _micros(idle)
+    held_types = [f"held_{c} array<{types[c]}>" for c in (order, *columns)]
+    fields = fold.state.split(", ")
+    # a value of another type than its field's would be stored as null
+    exact = [float if x.endswith(" double") else lambda v: v for x in fields]
+    state = f"{fold.state}, newest bigint, held_t array<bigint>" + "".join(f", {x}" for x in held_types)
+    names = [order, *columns]
 
-    return "state string, failures int, opened long", ("closed", 0, 0), step
+    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.exists:
+            all_ = tuple(held.get)
+            now, newest = all_[: len(fields)], all_[len(fields)]
+            rows = pd.DataFrame({c: list(v) for c, v in zip(["t", *names], all_[len(fields) + 1 :], strict=True)})
+        else:
+            now, newest, rows = fold.start, None, pd.DataFrame({c: [] for c in ["t", *names]})
+        if not held.hasTimedOut:
+            fresh = [f.rename(columns={"__t": "t"})[["t", *names]] for f in frames]
+            rows = pd.concat([x for x in [rows, *fresh] if len(x)] or [rows])
+            if len(rows):
+                newest = int(max(rows["t"].max(), newest if newest is not None else rows["t"].min()))
+        watermark = held.getCurrentWatermarkMs() * 1000 if held.getCurrentWatermarkMs() > 0 else None
+        until = max(x for x in (watermark, newest - span) if x is not None)
+        rows = rows.sort_values(["t", order], kind="stable")
+        due = rows["t"].to_numpy(dtype="int64") <= until if len(rows) else np.zeros(0, bool)
+        ready, rows = rows[due], rows[~due]
+        if len(ready):
+            now, results = fold.run(now, [ready["t"].to_numpy(dtype="int64"), *(ready[c].to_numpy() for c in columns)])
+            yield pd.DataFrame({key: [k[0]] * len(ready), order: ready[order].to_numpy(), out: results})
+        ends = fold.expires(now)
+        ends = newest + rest if ends is None else max(ends, newest)
+        if not len(rows) and watermark is not None and ends <= watermark:
+            held.remove()
+            return
+        plain = lambda x: [v.item() if hasattr(v, "item") else v for v in x]
+        now = tuple(None if v is None else f(v) for f, v in zip(exact, now, strict=True))
+        held.update((*now, newest, *(plain(rows[c].tolist()) for c in ["t", *names])))
+        wake = int(rows["t"].min()) // 1000 - 1 if len(rows) else ends // 1000 + 1
+        held.setTimeoutTimestamp(max(int(wake), held.getCurrentWatermarkMs() + 1))
+
+    marked = stream.withColumn("__t", F.unix_micros(ts)).withWatermark(ts, late)
+    picked = marked.select(key, ts, "__t", order, *(c for c in columns if c not in (key, ts, order)))
+    return picked.groupBy(key).applyInPandasWithState(run, f"`{key}` {types[key]}, `{order}` {types[order]}, `{out}` {fold.kind}", state, "append", GroupStateTimeout.EventTimeTimeout)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pagelathe.operators import folds as S
 from pagelathe.operators.asof import as_of
 from pagelathe.operators.sampling import categorical, weighted_choice
-from pagelathe.streaming import stateful
 from pagelathe.streaming import windows as W
 from pagelathe.streaming.sources import run_available
+from pagelathe.streaming.stateful import fold_stream
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -54,6 +54,41 @@ def test_spacing(frame, events):
     assert {r.id: r.ok for r in S.spaced(frame, "k", "ts", "id", 2.0).collect()} == loop(events, lambda: None, step)
 
 
+def test_waiting(frame, events):
+    """Against a loop that keeps every slot ever taken."""
+
+    def step(s, t, _):
+        at = max([t, *s])
+        while sum(at - 1 + 1e-9 < x <= at for x in s) >= 2:
+            at = min(x for x in s if x > at - 1 + 1e-9) + 1
+        return (s, None) if at - t >= 0.5 - 1e-6 else (s + [at], round((at - t) * 1e6))
+
+    micros = frame.withColumn("t", F.unix_micros("ts"))
+    got = {r.id: r.w for r in S.ordered(micros, "k", ["t", "id"], ["t"], S.waiting(10**6, 2, 500_000), "w").collect()}
+    want = loop(events, list, step)
+    assert got.keys() == want.keys() and all((got[i] is None) == (want[i] is None) and abs((got[i] or 0) - (want[i] or 0)) <= 2 for i in got)
+    assert None in got.values() and any(got.values())
+
+
+def test_decayed_mean_is_smoothing(spark, frame, events):
+    """A sum over time buckets equals the fold, whatever the width of the buckets."""
+    want = {}
+    for k, ts, i, ok in sorted(events, key=lambda e: (e[1], e[2])):
+        want[k] = want.get(k, 1.0) * 0.9 + 0.1 * ok
+    for seconds in (1, 7, 3600):
+        got = {r.k: r.score for r in S.decayed_mean(frame, "k", "ts", "id", F.col("ok").cast("int"), 0.9, 1.0, seconds).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_odd_rows(spark):
+    """An empty table gives nothing; rows without a key are a chain of their own; repeated rows are taken one by one."""
+    kind = "k string, ts timestamp, id long"
+    assert S.admit(spark.createDataFrame([], kind), "k", "ts", "id", 2).collect() == []
+    rows = [(k, T0 + dt.timedelta(seconds=s), i) for i, (k, s) in enumerate([(None, 0), (None, 0), ("a", 0), ("a", 0), (None, 5), ("", 0)])] + [("a", T0, 2)]
+    got = sorted((r.id, r.ok) for r in S.spaced(spark.createDataFrame(rows, kind), "k", "ts", "id", 2.0).collect())
+    assert got == [(0, True), (1, False), (2, False), (2, True), (3, False), (4, True), (5, True)]
+
+
 def test_ema_and_pid(spark):
     rows = [("a", i, b, s) for i, (b, s) in enumerate([(0.0, 0.0), (0.06, 0.0), (0.5, 0.1), (0.9, 0.9), (0.0, 0.0), (0.2, 0.0)])]
     df = spark.createDataFrame(rows, "k string, bucket long, b double, s double")
@@ -75,7 +110,7 @@ def test_ema_and_pid(spark):
 
 def states(spark, make, oks, gap=1.0):
     df = spark.createDataFrame([("k", float(i) * gap, i, bool(ok)) for i, ok in enumerate(oks)], "k string, t double, id long, ok boolean")
-    return [r.s for r in S.ordered(df, "k", ["t", "id"], ["ok"], *make, "s", "string").orderBy("id").collect()]
+    return [r.s for r in S.ordered(df, "k", ["t", "id"], ["t", "ok"], make, "s").orderBy("id").collect()]
 
 
 def test_breakers(spark):
@@ -88,7 +123,7 @@ def test_breakers(spark):
 
 def test_increase_and_decrease(spark):
     df = spark.createDataFrame([("k", i, ok) for i, ok in enumerate([False] * 4 + [True] * 17 + [False])], "k string, id long, ok boolean")
-    got = [r.n for r in S.ordered(df, "k", ["id"], ["ok"], *S.aimd(), "n", "double").orderBy("id").collect()]
+    got = [r.n for r in S.ordered(df, "k", ["id"], ["ok"], S.aimd(), "n").orderBy("id").collect()]
     assert got[:4] == [5.0, 2.5, 2.5, 1.25] and got[11] == 1.75 and got[19] == 2.25 and got[-1] == 2.25
 
 
@@ -113,15 +148,44 @@ def test_streams_equal_batches(spark, frame, events, tmp_path, files):
     for n in range(4):
         part = spark.createDataFrame(rows[n * 150 : (n + 1) * 150], "k string, ts timestamp, id long, ok boolean").coalesce(1)
         part.write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("k string, ts timestamp, id long, ok boolean").option("maxFilesPerTrigger", files or 100).parquet(str(tmp_path / "in")).withColumn("t", F.unix_micros("ts"))
-    fold = lambda kind: {r.id: r.out for r in run_available(stateful.fold_stream(stream, "k", ["t", "id"], *kind, "out", "boolean")).collect()}
-    assert fold(stateful.admit(10**6, 2)) == {r.id: r.ok for r in S.admit(frame, "k", "ts", "id", 2, 1.0).collect()}
-    assert fold(stateful.spaced(2 * 10**6)) == {r.id: r.ok for r in S.spaced(frame, "k", "ts", "id", 2.0).collect()}
+    stream = spark.readStream.schema("k string, ts timestamp, id long, ok boolean").option("maxFilesPerTrigger", files or 100).parquet(str(tmp_path / "in"))
+    fold = lambda kind, columns=(): {r.id: r.out for r in run_available(fold_stream(stream, "k", "ts", "id", list(columns), kind, "out")).collect()}
+    assert fold(S.admission(10**6, 2)) == {r.id: r.ok for r in S.admit(frame, "k", "ts", "id", 2, 1.0).collect()}
+    assert fold(S.spacing(2 * 10**6)) == {r.id: r.ok for r in S.spaced(frame, "k", "ts", "id", 2.0).collect()}
+    states = S.ordered(frame, "k", ["ts", "id"], ["t", "ok"], S.domain_breaker(4, 3.0, 2, 60.0), "s")
+    assert fold(S.domain_breaker(4, 3e6, 2, 60e6), ["ok"]) == {r.id: r.s for r in states.collect()}
     counts = {(r.start, r.k): r.n for r in run_available(W.windowed(stream, ["k"], "1 minute"), "complete").collect()}
     expected = {(r.w.start, r.k): r["count"] for r in frame.groupBy(F.window("ts", "1 minute").alias("w"), "k").count().collect()}
     assert counts == expected
 
 
+def test_disordered_rows_wait(spark, frame, events, tmp_path):
+    """Rows that come up to 20 seconds late are folded in order; only the newest 20 seconds are still waiting at the end."""
+    r = random.Random(5)
+    rows = sorted(events, key=lambda e: e[1] + dt.timedelta(seconds=r.uniform(0, 18)))
+    for n in range(6):
+        spark.createDataFrame(rows[n * 100 : (n + 1) * 100], "k string, ts timestamp, id long, ok boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp, id long, ok boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {x.id: x.out for x in run_available(fold_stream(stream, "k", "ts", "id", [], S.spacing(2 * 10**6), "out", late="20 seconds")).collect()}
+    want = {x.id: x.ok for x in S.spaced(frame, "k", "ts", "id", 2.0).collect()}
+    newest = max(e[1] for e in events)
+    assert all(got[i] == want[i] for i in got)
+    assert {e[2] for e in events if e[1] <= newest - dt.timedelta(seconds=20)} <= set(got) < set(want)
+
+
+def test_state_leaves_the_store(spark, tmp_path):
+    """Each key is seen once; after its two seconds it is gone, so the store holds the last keys and not all."""
+    for n in range(4):
+        rows = [(f"k{n}-{i}", T0 + dt.timedelta(seconds=100 * n + i / 100), i) for i in range(100)]
+        spark.createDataFrame(rows, "k string, ts timestamp, id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp, id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = fold_stream(stream, "k", "ts", "id", [], S.spacing(2 * 10**6), "ok")
+    run = out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert max(held) <= 200 and held[-1] <= 100
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     """In append mode a row later than the watermark allows is not counted; it needs a batch after the advance."""
     path = str(tmp_path / "in")
