@@ -21,11 +21,15 @@ ORGANIZATION_TYPES = ["Organization", "Brand"]
 REQUIRED = ["title", "price", "brand", "sku", "description", "image"]
 
 
+# What visible text leaves out, and where links stand.
+SCRIPT, STYLE, TAG = r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]+>"
+LINK = r'(?i)<a\s[^>]*href="([^"]*)"'
+
+
 def html_strip(html: Column) -> Column:
     """Visible text: scripts, styles and tags dropped, white space collapsed; entities stay as they are."""
-    text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
-    text = F.regexp_replace(text, r"(?is)<style[^>]*>.*?</style>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " "))
+    text = F.regexp_replace(F.regexp_replace(html, SCRIPT, ""), STYLE, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, TAG, " "), r"\s+", " "))
 
 
 def ws_norm(text: Column) -> Column:
@@ -68,7 +72,7 @@ def json_ld_blocks(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
 
 
 def _text(node: Column, *paths: str) -> Column:
@@ -88,44 +92,47 @@ def nodes(html: Column) -> Column:
     return F.flatten(F.transform(parsed, lambda v: F.coalesce(graph(v), F.array(v))))
 
 
-def node_fields(node: Column) -> Column:
-    """Fields of one node in order: array of (name, value); values that are null or empty are left out."""
-    kind = node_type(node)
-    product, offer, organization = kind.isin(PRODUCT_TYPES), kind.isin(OFFER_TYPES), kind.isin(ORGANIZATION_TYPES)
-    pair = lambda when, name, *paths: F.struct(F.lit(name).alias("name"), F.when(when, _text(node, *paths)).alias("value"))
-    pairs = [
-        pair(product, "title", "$.name"),
-        pair(product, "description", "$.description"),
-        pair(product, "sku", "$.sku"),
-        pair(product, "brand", "$.brand.name", "$.brand[0].name"),
-        pair(product, "image", "$.image[0].url", "$.image[0]", "$.image"),
-        pair(product, "category", "$.category.name", "$.category[0].name", "$.category"),
-        pair(product, "upc", "$.gtin12", "$.upc"),
-        pair(product, "ean", "$.gtin13", "$.ean"),
-        pair(product, "rating_value", "$.aggregateRating.ratingValue"),
-        pair(product, "review_count", "$.aggregateRating.reviewCount"),
-    ]
-    for at in ("offers", "offers[0]", None):
-        when, root = (product, f"$.{at}.") if at else (offer, "$.")
-        pairs += [
-            pair(when, "price", root + "price"),
-            pair(when, "currency", root + "priceCurrency"),
-            pair(when, "availability", root + "availability.name", root + "availability"),
-            pair(when, "price_valid_until", root + "priceValidUntil"),
+def node_fields(node: Column, kind: Column) -> Column:
+    """Fields of one node of a type in order: array of (name, value); values that are null or empty are left out."""
+    pair = lambda name, *paths: F.struct(F.lit(name).alias("name"), _text(node, *paths).alias("value"))
+    present = lambda *pairs: F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
+
+    def offer(root: str) -> list[Column]:
+        return [
+            pair("price", f"{root}price"),
+            pair("currency", f"{root}priceCurrency"),
+            pair("availability", f"{root}availability.name", f"{root}availability"),
+            pair("price_valid_until", f"{root}priceValidUntil"),
         ]
-    pairs.append(pair(organization, "brand", "$.name"))
-    return F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
+
+    product = [
+        pair("title", "$.name"),
+        pair("description", "$.description"),
+        pair("sku", "$.sku"),
+        pair("brand", "$.brand.name", "$.brand[0].name"),
+        pair("image", "$.image[0].url", "$.image[0]", "$.image"),
+        pair("category", "$.category.name", "$.category[0].name", "$.category"),
+        pair("upc", "$.gtin12", "$.upc"),
+        pair("ean", "$.gtin13", "$.ean"),
+        pair("rating_value", "$.aggregateRating.ratingValue"),
+        pair("review_count", "$.aggregateRating.reviewCount"),
+    ]
+    offers = F.try_variant_get(node, "$.offers", "variant").isNotNull()
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    sold = F.when(offers, present(*offer("$.offers."), *offer("$.offers[0]."))).otherwise(none)
+    return F.when(kind.isin(PRODUCT_TYPES), F.concat(present(*product), sold)).when(kind.isin(OFFER_TYPES), present(*offer("$."))).when(kind.isin(ORGANIZATION_TYPES), present(pair("brand", "$.name"))).otherwise(none)
 
 
 def first_wins(pairs: Column) -> Column:
-    """A map of an array of (name, value): the first value of each name."""
-    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
-    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.element_at(F.filter(pairs, lambda p: p["name"] == n), 1)["value"])))
+    """A map of an array of (name, value): the first value of each name. pairs is evaluated once."""
+    put = lambda acc, p: F.when(F.map_contains_key(acc, p["name"]), acc).otherwise(F.map_concat(acc, F.create_map(p["name"], p["value"])))
+    return F.aggregate(pairs, F.create_map().cast("map<string,string>"), put)
 
 
 def json_ld_fields(html: Column) -> Column:
     """The first value of each field over all nodes of a page, as a map."""
-    return first_wins(F.flatten(F.transform(nodes(html), node_fields)))
+    typed = F.transform(nodes(html), lambda n: F.struct(n.alias("node"), node_type(n).alias("kind")))
+    return first_wins(F.flatten(F.transform(typed, lambda x: node_fields(x["node"], x["kind"]))))
 
 
 def heuristic_fields(text: Column) -> Column:

@@ -23,9 +23,15 @@ def is_success(status: Column) -> Column:
     return status.between(200, 299)
 
 
-def is_blocked(status: Column, challenge: Column) -> Column:
-    """403, 429, or any recognised challenge; a 503 counts only with a challenge."""
-    return status.isin(403, 429) | (challenge != "")
+def is_blocked(status: Column, challenge: Column, script_challenge: Column | None = None) -> Column:
+    """403, 429, a script challenge, or a 503 with any challenge type.
+
+    script_challenge is the flag that a page was a challenge; without it a recognised type stands for the flag. Null types
+    and flags count as none.
+    """
+    kind = F.coalesce(challenge, F.lit("")) != ""
+    flag = kind if script_challenge is None else F.coalesce(script_challenge, F.lit(False))
+    return F.coalesce(status.isin(403, 429), F.lit(False)) | flag | (F.coalesce(status == 503, F.lit(False)) & kind)
 
 
 def hint(status: Column, headers: Column) -> Column:

@@ -18,22 +18,19 @@ _LINKS = T.StructType([T.StructField("position", T.IntegerType()), T.StructField
 class ExtractFields:
     """A row for each field that the default selector rules find."""
 
-    def __init__(self) -> None:
-        self.compiled = S._compile_all(S.GENERIC + [r for rules in S.SITES.values() for r in rules])
-
     def eval(self, html: str, url: str) -> Iterator[tuple[str, str, str]]:
         try:
             host = urlsplit(url or "").hostname or ""
         except ValueError:
             host = ""
-        yield from S._defaults(S.parse(html), host, self.compiled)
+        yield from (f[:3] for f in S.fields_of(html, host))
 
 
 class HtmlLinks:
     """A row for each link target of a page, in order."""
 
     def eval(self, html: str) -> Iterator[tuple[int, str]]:
-        targets = (n.attrs["href"] for n in S.parse(html).walk() if n.tag == "a" and "href" in n.attrs)
+        targets = (n.attrs["href"] for n in S.parse(html).by_tag.get("a", ()) if "href" in n.attrs)
         yield from enumerate(targets)
 
 

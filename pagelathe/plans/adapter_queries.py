@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pagelathe.functions import urls as U
 from pagelathe.operators import folds
-from pagelathe.operators.cascade import extract
-from pagelathe.operators.model_tiers import heal_rules, read_screenshots
+from pagelathe.operators.cascade import extract, extract_and_heal
+from pagelathe.operators.model_tiers import read_screenshots
+from pagelathe.operators.selectors import RULES
 from pagelathe.plans.fold_queries import LOOP
 from pagelathe.plans.registry import query
 from pagelathe.sources import blobs, messages
@@ -48,22 +50,22 @@ def snk_mongo_insert(spark, d):
     return spark.read.schema("task_id string, url string").json(path).select("task_id", "url")
 
 
-@query("snk_kafka", "SELECT CASE WHEN o_orderpriority < '2' THEN 'high' WHEN o_orderpriority < '4' THEN 'normal' ELSE 'low' END AS topic, count(*) AS n FROM orders GROUP BY 1")
+@query("snk_kafka", """SELECT CASE WHEN o_orderpriority < '2' THEN 'high' WHEN o_orderpriority < '4' THEN 'normal' ELSE 'low' END AS topic, '{"task_id":"' || o_orderkey || '","url":"https://x.example/' || o_orderkey || '"}' AS value FROM orders""")
 def snk_kafka(spark, d):
-    """Messages published to a folder for each topic."""
+    """Messages published to where the configuration says, here a folder for each topic."""
     path = _path(spark, "topics")
-    messages.write_topics(_tasks(spark, d).select("topic", messages.serialize("task_id", "url").alias("value")), path)
-    return spark.read.schema("value string, topic string").json(path).groupBy("topic").agg(F.count("*").alias("n"))
+    messages.publish(_tasks(spark, d).select("task_id", "topic", messages.serialize("task_id", "url").alias("value")), {"path": path})
+    return spark.read.schema("value string, topic string").text(path).select("topic", "value")
 
 
 @query("src_kafka", _TASKS)
 def src_kafka(spark, d):
     """Messages of all topics as one stream; broken ones are skipped."""
     path, t = _path(spark, "topics"), _tasks(spark, d)
-    wire = t.select("topic", messages.serialize("task_id", "url").alias("value"))
-    broken = wire.limit(5).select("topic", F.lit("{broken").alias("value"))
-    wire.unionByName(broken).write.partitionBy("topic").text(path)
-    return run_available(messages.stream_topics(spark, path)).select("task_id", "url")
+    wire = t.select("task_id", "topic", messages.serialize("task_id", "url").alias("value"))
+    broken = wire.limit(5).select("task_id", "topic", F.lit("{broken").alias("value"))
+    messages.publish(wire.unionByName(broken), {"path": path})
+    return run_available(messages.source(spark, {"path": path})).select("task_id", "url")
 
 
 @query("src_s3_html", "SELECT page_id, html FROM pages")
@@ -74,10 +76,16 @@ def src_s3_html(spark, d):
     return spark.read.schema("page_id long, content binary").parquet(path).select("page_id", F.decode(blobs.unpack("content"), "UTF-8").alias("html"))
 
 
-@query("src_s3_exists", "SELECT true AS present, false AS absent")
+@query("src_s3_exists", "SELECT * FROM (VALUES (1, 'absent', false), (2, 'ensured', true), (3, 'written', true), (4, 'deleted', false), (5, 'deleted again', false)) t(step, what, present)")
 def src_s3_exists(spark, d):
-    """Whether a stored object is there."""
-    return spark.createDataFrame([(blobs.exists(spark, f"{d}/pages.parquet"), blobs.exists(spark, f"{d}/none.parquet"))], "present boolean, absent boolean")
+    """Whether a stored object is there before and after it is written and deleted."""
+    path = _path(spark, "blob")
+    rows = [(1, "absent", blobs.exists(spark, path)), (2, "ensured", blobs.ensure(spark, path))]
+    T.table(spark, d, "nation").write.parquet(f"{path}/nation")
+    rows.append((3, "written", blobs.exists(spark, f"{path}/nation")))
+    blobs.delete(spark, path)
+    rows += [(4, "deleted", blobs.exists(spark, path)), (5, "deleted again", blobs.delete(spark, path))]
+    return spark.createDataFrame(rows, "step int, what string, present boolean")
 
 
 @query("src_lambda")
@@ -89,12 +97,18 @@ def src_lambda(spark, d):
     return extract(asked.join(pages.select("key", "url", "html"), "key"), "task_id").select("task_id", "n_fields", "success")
 
 
-@query("ex_llm_heal", f"WITH u AS ({T.URLS}), p AS (SELECT coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), ''), 'unknown') AS domain FROM u) SELECT count(DISTINCT domain) AS domains FROM p")
+@query("ex_llm_heal", f"WITH pp AS ({T.PRODUCT_PAGES}) SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS brand, regexp_extract(url, '^https?://([^/]+)', 1) || ':h1' AS rule FROM pp")
 def ex_llm_heal(spark, d):
-    """Rules asked of a model once for each kind of page; here a fixed answer."""
-    pages = T.urls(spark, d).select("url", F.lit("<h1>x</h1>").alias("html"))
-    healed = heal_rules(pages, T.rules(spark, d).where("false"), lambda html: F.when(F.contains(html, F.lit("<h1>")), F.lit("h1")))
-    return healed.where("rules = 'h1'").agg(F.count_distinct("domain").alias("domains"))
+    """Pages with missing fields, healed by rules that a model gives once for each kind of page; here one that takes the
+    heading as brand. The rules go to the cache, with the domain they are for."""
+    rule = F.struct(F.lit("brand").alias("field"), F.lit("css").alias("kind"), F.lit("h1").alias("selector"), F.lit(None).cast("string").alias("attribute"))
+    model = lambda html: F.when(F.contains(html, F.lit("<h1>")), F.array(rule)).otherwise(F.array().cast(RULES))
+    pages = T.product_pages(spark, d)
+    cache = spark.createDataFrame([], f"domain string, path_pattern string, rules {RULES}, expires_at timestamp")
+    found, added = extract_and_heal(pages, cache, F.lit("2024-01-01").cast("timestamp"), model, "page_id")
+    rules = added.select("domain", F.concat_ws(":", "domain", F.col("rules")[0]["selector"]).alias("rule"))
+    domains = pages.select("page_id", U.domain(F.col("url")).alias("domain")).join(rules, "domain")
+    return found.join(domains, "page_id").select("page_id", F.col("fields")["brand"].alias("brand"), "rule")
 
 
 @query("ex_multimodal", "SELECT page_id, 'n' || CAST(strlen(html) AS STRING) AS title FROM pages")
@@ -105,11 +119,13 @@ def ex_multimodal(spark, d):
     return read.select("page_id", F.col("fields")[0]["value"].alias("title"))
 
 
-@query("partition_pick", "SELECT count(*) AS rows, true AS even FROM orders")
+@query("partition_pick", "SELECT o_orderkey, true AS even FROM orders")
 def partition_pick(spark, d):
-    """Rows dealt round robin: partitions differ by a few rows only."""
-    sizes = T.table(spark, d, "orders").select("o_orderkey").repartition(8).groupBy(F.spark_partition_id().alias("p")).count()
-    return sizes.agg(F.sum("count").alias("rows"), (F.max("count") - F.min("count") <= 64).alias("even"))
+    """Rows dealt round robin; even tells whether a row's partition has at most 64 rows more than the smallest."""
+    dealt = T.table(spark, d, "orders").select("o_orderkey").repartition(8).withColumn("p", F.spark_partition_id())
+    sizes = dealt.groupBy("p").count()
+    least = sizes.agg(F.min("count").alias("least"))
+    return dealt.join(sizes.join(F.broadcast(least)), "p").select("o_orderkey", (F.col("count") - F.col("least") <= 64).alias("even"))
 
 
 @query("st_pid_loop", LOOP)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagelathe.functions import urls as U
@@ -9,6 +11,7 @@ from pagelathe.operators import tables as O
 from pagelathe.plans.registry import query
 from pagelathe.sources import blobs, messages
 from pagelathe.sources import tables as T
+from pagelathe.streaming.sources import shared_dir
 
 
 def _orders(spark, d):
@@ -201,11 +204,13 @@ def compress_ratio(spark, d):
     return T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(blobs.compression_ratio(F.col("l_quantity"), F.col("l_linenumber")), 6).alias("ratio"))
 
 
-@query("compress", "SELECT page_id, strlen(html) AS n_bytes, true AS same FROM pages")
+@query("compress", "SELECT page_id, codec, strlen(html) AS n_bytes, sha256(html) AS digest FROM pages, (VALUES ('gzip'), ('zstd')) c(codec)")
 def compress(spark, d):
-    """Pages packed and unpacked again."""
+    """Pages packed and unpacked again by each codec: their size and hash after the round trip."""
     p = T.table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("raw"))
-    return p.select("page_id", F.octet_length("raw").cast("long").alias("n_bytes"), (blobs.unpack(blobs.pack_zstd("raw")) == F.col("raw")).alias("same"))
+    packed = p.select("page_id", F.explode(F.create_map(F.lit("gzip"), blobs.pack_gzip("raw"), F.lit("zstd"), blobs.pack_zstd("raw"))).alias("codec", "packed"))
+    back = packed.select("page_id", "codec", blobs.unpack("packed").alias("raw"))
+    return back.select("page_id", "codec", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("digest"))
 
 
 @query("snk_s3_html", "SELECT page_id, strlen(html) AS original, true AS smaller FROM pages")
@@ -226,12 +231,15 @@ def accept_lang(spark, d):
     return n.select("n_nationkey", language_header(locale, languages).alias("header"))
 
 
-@query("snk_batch", "SELECT count(*) AS n, max(c) <= 20 AS small FROM (SELECT o_orderkey, 1 AS c FROM orders)")
+@query("snk_batch", "SELECT o_orderkey, true AS fits FROM orders")
 def snk_batch(spark, d):
-    """Rows in insert batches of twenty."""
+    """Rows written and read back in insert batches; fits tells whether a row's batch has at most twenty."""
     b = O.batch_numbers(_orders(spark, d).select("o_orderkey"), "o_orderkey", 20)
-    sizes = b.groupBy("bucket", "batch").count()
-    return sizes.agg(F.sum("count").cast("long").alias("n"), (F.max("count") <= 20).alias("small"))
+    path = f"{shared_dir(spark)}/pagelathe/batches-{uuid.uuid4().hex}"
+    b.write.parquet(path)
+    stored = spark.read.schema(b.schema).parquet(path)
+    sizes = stored.groupBy("bucket", "batch").agg((F.count("*") <= 20).alias("fits"))
+    return stored.join(sizes, ["bucket", "batch"]).select("o_orderkey", "fits")
 
 
 @query("snk_prom", f"WITH f AS ({T.FETCH_LOG}) SELECT 'requests_total' AS name, 'domain=' || domain || ',engine=' || engine AS labels, count(*)::DOUBLE AS value FROM f GROUP BY domain, engine")

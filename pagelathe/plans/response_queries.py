@@ -24,7 +24,7 @@ def _each(name: str, column: str, build, sql: str) -> None:
 
 
 _each("resp_success", "ok", lambda: R.is_success(F.col("status_code")), "status_code BETWEEN 200 AND 299")
-_each("resp_blocked", "blocked", lambda: R.is_blocked(F.col("status_code"), F.col("challenge_type")), BLOCKED)
+_each("resp_blocked", "blocked", lambda: R.is_blocked(F.col("status_code"), F.col("challenge_type"), F.col("k") % 3 == 0), "status_code IN (403, 429) OR k % 3 = 0 OR (status_code = 503 AND challenge_type <> '')")
 _each("sc_reward", "reward", lambda: F.round(R.reward(F.col("status_code"), F.col("challenge_type"), F.col("latency_ms")), 6), f"round({REWARD}, 6)")
 _each("sc_ban", "ban", lambda: R.ban_indicator(F.col("status_code"), F.col("challenge_type")), BAN)
 _each("speed_bucket", "speed", lambda: R.speed_bucket(F.when(F.col("k") % 9 != 0, F.col("latency_ms"))), "CASE WHEN k % 9 = 0 THEN 'bad' WHEN latency_ms < 1000 THEN 'fast' WHEN latency_ms < 3000 THEN 'ok' WHEN latency_ms < 5000 THEN 'slow' ELSE 'bad' END")

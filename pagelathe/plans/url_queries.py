@@ -64,10 +64,11 @@ def url_score_recency(spark, d):
 
 @query("url_match", f"WITH {_U}, r AS ({T.RULES}), m AS (SELECT DISTINCT path_pattern, '^' || replace(replace(replace(replace(replace(regexp_replace(path_pattern, '([.+?^$()|])', '\\\\\\1', 'g'), '{{id}}', '[^/]+'), '{{sku}}', '[^/]+'), '{{slug}}', '[^/]+'), '{{category}}', '[^/]+'), '*', '[^/]*') AS re FROM r) SELECT id, path_pattern FROM p, m WHERE regexp_matches(path, re)")
 def url_match(spark, d):
-    """Every URL with each rule pattern that its path begins with; the few patterns are broadcast."""
-    patterns = T.rules(spark, d).select("path_pattern", U.pattern_regex(F.col("path_pattern")).alias("re")).distinct()
-    paths = T.urls(spark, d).select("id", U.path(F.col("url")).alias("path"))
-    return paths.join(F.broadcast(patterns), F.expr("path RLIKE re")).select("id", "path_pattern")
+    """Every URL with each rule pattern that its path begins with."""
+    from pagelathe.operators.rules import matching
+
+    patterns = T.rules(spark, d).select("path_pattern").distinct()
+    return matching(T.urls(spark, d).select("id", U.path(F.col("url")).alias("path")), patterns).select("id", "path_pattern")
 
 
 @query("rule_key", f"WITH r AS ({T.RULES}) SELECT rule_id, 'extract:rule:' || domain || ':' || left(md5(path_pattern), 12) AS rule_key FROM r")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+from importlib import import_module
+from importlib.util import find_spec
 
 import pandas as pd
 import zstandard
@@ -22,6 +24,28 @@ def pack_zstd(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else c.compress(b))
 
 
+#: Whether this installation has a codec that can't be told by its first bytes; unpack_brotli() names it instead.
+BROTLI = next((m for m in ("brotli", "brotlicffi") if find_spec(m)), None)
+
+
+def _brotli():
+    if not BROTLI:
+        raise ModuleNotFoundError("brotli pages need the brotli or brotlicffi module")
+    return import_module(BROTLI)
+
+
+@F.pandas_udf(T.BinaryType())
+def pack_brotli(raw: pd.Series) -> pd.Series:
+    codec = _brotli()
+    return raw.map(lambda b: None if b is None else codec.compress(b, quality=6))
+
+
+@F.pandas_udf(T.BinaryType())
+def unpack_brotli(packed: pd.Series) -> pd.Series:
+    codec = _brotli()
+    return packed.map(lambda b: None if b is None else codec.decompress(b))
+
+
 @F.pandas_udf(T.BinaryType())
 def unpack(packed: pd.Series) -> pd.Series:
     """gzip and zstd are told apart by their first bytes; anything else is returned as it is."""
@@ -47,6 +71,23 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.decode(unpack("content"), "UTF-8").alias("html"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _store(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _store(spark, path)
+    return fs.exists(where)
+
+
+def ensure(spark: SparkSession, path: str) -> bool:
+    """Makes a folder, with those above it, where there is none; whether it is there now."""
+    fs, where = _store(spark, path)
+    return fs.mkdirs(where)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes an object or a folder with all in it; false if there was none."""
+    fs, where = _store(spark, path)
+    return fs.delete(where, True)

@@ -54,3 +54,40 @@ def stream_topics(spark: SparkSession, path: str, schema: str = TASK, topics: li
     """All topics together, without an order among them; files bounds what a micro-batch takes."""
     raw = spark.readStream.schema("value string, topic string").option("maxFilesPerTrigger", files).option("wholetext", False).format("text").load(path)
     return good(raw.where(F.col("topic").isin(topics)), schema)
+
+
+def kafka_rows(messages: DataFrame, key: str = "task_id", topic: str = "topic", value: str = "value") -> DataFrame:
+    """(key, value, topic) as the Kafka sink takes them."""
+    return messages.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"), F.col(topic).alias("topic"))
+
+
+def kafka_source(spark: SparkSession, servers: str, topics: list[str] = TOPICS, schema: str = TASK, offsets: int = 500, **options: str) -> DataFrame:
+    """All topics of a Kafka cluster as one stream of parsed messages; offsets bounds what a micro-batch takes.
+
+    Needs Spark's Kafka connector on the class path. Offsets are committed to the stream's checkpoint.
+    """
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("maxOffsetsPerTrigger", offsets).options(**options)
+    return good(reader.load().select(F.col("value").cast("string").alias("value")), schema)
+
+
+def kafka_sink(messages: DataFrame, servers: str, checkpoint: str | None = None, **options: str):
+    """Publishes rows of kafka_rows(): a batch at once (returns None), a stream from its checkpoint (returns the query)."""
+    to = {"kafka.bootstrap.servers": servers} | options
+    if not messages.isStreaming:
+        return messages.write.format("kafka").options(**to).save()
+    return messages.writeStream.format("kafka").options(**to).option("checkpointLocation", checkpoint).start()
+
+
+def source(spark: SparkSession, conf: dict[str, str], schema: str = TASK) -> DataFrame:
+    """The stream that a configuration names: Kafka where it has servers, else folders under path."""
+    if conf.get("servers"):
+        return kafka_source(spark, conf["servers"], schema=schema, offsets=int(conf.get("max_poll", 500)))
+    return stream_topics(spark, conf["path"], schema, files=int(conf.get("max_poll", 500)))
+
+
+def publish(messages: DataFrame, conf: dict[str, str], key: str = "task_id") -> None:
+    """Messages with columns key, topic and value to where source() reads them."""
+    if conf.get("servers"):
+        kafka_sink(kafka_rows(messages, key), conf["servers"])
+    else:
+        messages.select("topic", "value").write.mode("append").partitionBy("topic").text(conf["path"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions import extraction as X
 from pagelathe.operators import selectors as S
-from pagelathe.operators.cascade import extract
+from pagelathe.operators.cascade import extract, extract_and_heal
 
 JSONLD = """<html><head><script type="application/ld+json">{"@context":"x","@type":"Product","name":"Chair","sku":"JLD-001","brand":{"name":"Acme"},"image":["a.jpg","b.jpg"],
 "offers":[{"@type":"Offer","price":"49.99","priceCurrency":"EUR"}],"aggregateRating":{"ratingValue":"4.7","reviewCount":12}}</script>
@@ -68,18 +68,43 @@ def test_css(selector, expected):
 
 def test_xpath():
     doc = S.parse("<div a='1'><b>x</b><i>y</i></div><div><b>z</b></div>")
-    assert S.compile_xpath("//b//text()")(doc) == ["x", "z"]
+    assert list(S.compile_xpath("//b//text()")(doc)) == ["x", "z"]
     assert [n.tag for n in S.compile_xpath("//div[@a='1']/*")(doc)] == ["b", "i"]
-    assert S.compile_xpath("//div/@a")(doc) == ["1"]
+    assert list(S.compile_xpath("//div/@a")(doc)) == ["1"]
     with pytest.raises(ValueError, match="not supported"):
         S.compile_xpath("count(//a)")
-    with pytest.raises(ValueError, match="not supported"):
-        S.compile_css("a > b")
+    doc = S.parse("<ul><li>1<li class='k'>2<li>3</ul><ul><li>4</ul>")
+    path = lambda p: [n.text() for n in S.compile_xpath(p)(doc)]
+    assert path("//li[1]") == ["1", "4"] and path("//li[last()]") == ["3", "4"] and path("//ul/li[2]") == ["2"]
+    assert path("//li[@class]") == ["2"] and path("//li[contains(@class, 'k')]") == ["2"] and path("//li[text()='3']") == ["3"]
+    assert path("//li[contains(text(), '4')]") == ["4"] and path("//li[@class='k']/..") == ["123"] and path("//li[1] | //li[@class]") == ["1", "4", "2"]
+
+
+@pytest.mark.parametrize(
+    "selector,expected",
+    [
+        ("ul > li", "1234"), ("div > li", ""), ("li + li", "23"), ("li.k ~ li", "3"), ("li:nth-child(2)", "2"), ("li:nth-child(odd)", "134"), ("li:nth-child(2n+1)", "134"), ("li:nth-child(-n+2)", "124"),
+        ("li:nth-last-child(1)", "34"), ("li:not(.k)", "134"), ("li:only-child", "4"), ("li:first-of-type", "14"), ("[class~='j']", "2"), ("[lang|='en']", "3"), ("ul li:not(:first-child)", "23"), ("div ul>li , p", "1234"),
+        ("li:nope", ""), ("a >", ""), ("> li", ""), ("li[", ""), ("li:nth-child(x)", ""), ("", ""), ("li,,p", ""),
+    ],
+)
+def test_css_combinators_and_broken_selectors(selector, expected):
+    """A selector that can't be read matches nothing: rules are data."""
+    doc = S.parse("<div><ul><li>1<li class='j k'>2<li lang='en-GB'>3</ul><ul><li>4</ul></div>")
+    assert "".join(n.text() for n in S.compiled("css", selector)(doc)) == expected
+    assert list(S.compiled("xpath", "count(//a)")(doc)) == list(S.compiled("regex", ".*")(doc)) == []
+
+
+def test_rules_from_data(spark):
+    """A broken rule is skipped, and the others still count."""
+    pages = spark.createDataFrame([(1, "<h2>x</h2>"), (None, "<h2>y</h2>"), (1, None)], "page_id long, html string")
+    got = S.apply_rules(pages, [("a", "css", "h2 >> b", None), ("b", "xpath", "//h2[[", None), ("c", "css", "h2", None)], "page_id").collect()
+    assert {(r.page_id, r.name, r.value) for r in got} == {(1, "c", "x"), (None, "c", "y")}
 
 
 def test_deep_and_broken_html():
-    assert S.parse("<div>" * 5000 + "x").text() == "x"
-    assert S.parse("<p <b>< &#xfffffff; <!-- <").text() is not None
+    assert S.parse("<div>" * 5000 + "x").root.text() == "x"
+    assert S.parse("<p <b>< &#xfffffff; <!-- <").root.text() is not None
     assert S.article(None)["content"] is None
 
 
@@ -107,6 +132,33 @@ def test_cascade(spark):
     assert asked == {1: "a.jpg", 2: "m.png", 3: "m.png", 4: "m.png"}
 
 
+def test_cascade_keeps_rows_apart(spark):
+    """Repeated and null ids: each row is extracted from its own page."""
+    rows = [(1, "u", JSONLD), (1, "u", PRODUCT), (None, "u", PRODUCT), (None, "u", JUNK), (2, None, "")]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id").collect()
+    assert sorted((str(r.page_id), r.fields.get("title")) for r in got if r.fields) == [("1", "Chair"), ("1", "Title & bold"), ("None", "Title & bold")]
+    assert len(got) == 5 and extract(spark.createDataFrame([], "page_id long, url string, html string"), "page_id").collect() == []
+
+
+def test_cascade_asks_a_tagger_before_patterns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>Acme sells for $5</p>")], "page_id long, url string, html string")
+    tagger = lambda text: F.array(F.struct(F.lit("brand").alias("name"), F.regexp_extract(text, "^[A-Z][a-z]+", 0).alias("value")))
+    assert extract(pages, "page_id", entities=tagger).first().fields == {"brand": "Acme", "price": "5.0"}
+
+
+def test_healing_uses_the_cache(spark):
+    """A live rule is used and the model not asked; an expired one is asked for again; its answer is cached."""
+    kind = f"domain string, path_pattern string, rules {S.RULES}, expires_at timestamp"
+    rule = lambda s: [("brand", "css", s, None)]
+    at = lambda t: F.lit(t).cast("timestamp")
+    pages = spark.createDataFrame([(1, "https://a.x/p/1", "<i>live</i><b>new</b>"), (2, "https://b.x/p/2", "<i>old</i><b>new</b>"), (3, "https://c.x/p/3", "<u>none</u>")], "page_id long, url string, html string")
+    cache = spark.createDataFrame([("a.x", "/p/{id}", rule("i"), None), ("b.x", "/p/{id}", rule("i"), None)], kind).withColumn("expires_at", F.when(F.col("domain") == "a.x", at("2024-01-02")).otherwise(at("2023-12-31")))
+    model = lambda html: F.when(F.contains(html, F.lit("<b>")), F.array(F.struct(F.lit("brand").alias("field"), F.lit("css").alias("kind"), F.lit("b").alias("selector"), F.lit(None).cast("string").alias("attribute")))).otherwise(F.array().cast(S.RULES))
+    found, added = extract_and_heal(pages, cache, at("2024-01-01"), model, "page_id")
+    assert {r.page_id: r.fields.get("brand") for r in found.collect()} == {1: "live", 2: "new", 3: None}
+    assert [(r.domain, r.path_pattern, r.rules[0].selector, str(r.expires_at)) for r in added.collect()] == [("b.x", "/p/{id}", "b", "2024-01-02 00:00:00")]
+
+
 def test_table_functions(spark):
     from pagelathe.functions import udtf
 

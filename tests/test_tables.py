@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelathe import api
@@ -89,3 +90,26 @@ def test_service_functions(spark):
     assert [r.task_id for r in api.pending_batch(t, t.where("status = 'success'")).collect()] == ["1"]
     log = spark.createDataFrame([("a", "http", 200, "", 10.0, dt.datetime(2024, 1, 1), 1)], "domain string, engine string, status_code int, challenge_type string, latency_ms double, ts timestamp, event_id long")
     assert api.domain_stats(log).first().p50 == 10.0 and api.metrics(log).first().value == 1.0
+
+
+def test_topics_by_configuration(spark, tmp_path):
+    """Folders by default; with servers the Kafka format is asked for, with its options and columns."""
+    rows = spark.createDataFrame([("1", "high", '{"task_id":"1"}'), ("2", "low", "{broken")], "task_id string, topic string, value string")
+    conf = {"path": str(tmp_path / "topics")}
+    messages.publish(rows, conf)
+    from pagelathe.streaming.sources import run_available
+
+    assert [r.task_id for r in run_available(messages.source(spark, conf)).collect()] == ["1"]
+    assert messages.kafka_rows(rows).columns == ["key", "value", "topic"]
+    for call in (lambda: messages.source(spark, {"servers": "h:9092"}), lambda: messages.publish(rows, {"servers": "h:9092"})):
+        with pytest.raises(Exception, match="(?i)kafka"):
+            call()
+
+
+def test_blobs_come_and_go(spark, tmp_path):
+    where = str(tmp_path / "a" / "b")
+    assert not blobs.exists(spark, where) and blobs.ensure(spark, where) and blobs.exists(spark, where)
+    assert blobs.delete(spark, where) and not blobs.delete(spark, where)
+    if not blobs.BROTLI:
+        with pytest.raises(Exception, match="brotli"):
+            spark.range(1).select(blobs.pack_brotli(F.lit(b"x").cast("binary"))).collect()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,17 @@ def test_submit(spark):
     got = {r.url: r for r in api.submit(spark.createDataFrame([("https://a.com/product/1",), ("x",)], "url string")).collect()}
     assert got["https://a.com/product/1"].priority == 85 and got["https://a.com/product/1"].topic == "high" and got["x"].domain == "unknown"
     assert {r.status for r in api.submit(spark.createDataFrame([("u",)], "url string"), priority=101).collect()} == {"invalid"}
+
+
+def test_matching_patterns(spark):
+    """Against a regular expression tried on every pair."""
+    from pagelathe.operators.rules import matching
+
+    paths = ["/search/x", "/search", "/item/5/y", "/login2", "/a+b/c", "", None, "/"]
+    patterns = ["/search/*", "/item/{id}", "/login", "/a+b/{slug}", "*", "/{id}", None]
+    left = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "id int, path string")
+    right = spark.createDataFrame([(p,) for p in patterns], "path_pattern string")
+    got = sorted((r.id, r.path_pattern) for r in matching(left, right).collect())
+    regex = lambda p: "^" + re.sub(r"\\\*", "[^/]*", re.sub(r"\\\{(?:id|sku|slug|category)\\\}", "[^/]+", re.escape(p)))
+    assert got == sorted((i, p) for i, u in enumerate(paths) if u is not None for p in patterns if p is not None and re.search(regex(p), u))
+    assert matching(left, right.limit(0)).collect() == []
