@@ -13,12 +13,15 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A temporary one is set only where the session names none, as in tests."""
+    """The folder in spark.checkpoint.dir. Where the session names none, as in tests, a temporary one on a local master
+    only: on a cluster each executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         folder = spark.sparkContext._jsc.sc().getCheckpointDir()
         if folder.isDefined():
             return folder.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagelathe-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -30,10 +33,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/pagelathe/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no upstream work."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
