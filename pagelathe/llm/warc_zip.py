@@ -1,16 +1,17 @@
 """WARC archives in ZIP packages: a writer, and a reader that range-reads records without extracting anything.
 
-A package holds stored (uncompressed) members: archive/data.warc.gz, one gzip member for each record, and
-indexes/index.cdxj, a line of JSON for each record with its offset and length inside that member. The reader parses
-the end record, the ZIP64 locator and end record, the central directory and its ZIP64 extra fields, finds each stored
-member's bytes behind its local header, and reads only the index and the ranges it is asked for.
+The writer's packages hold stored (uncompressed) members: archive/data.warc.gz, a warcinfo record and one gzip member for
+each record, and indexes/index.cdxj, a line for each record of its SURT key, timestamp and JSON. The reader takes packages of
+any writer: it parses the end record, the ZIP64 locator and end record, the central directory and its ZIP64 extra fields,
+finds every stored *.warc.gz or *.warc member behind its local header, reads the CDXJ indexes (plain, gzipped, or deflated by
+the ZIP) and then only the ranges they name; a member that no index covers is scanned once for its records.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
-import io
 import json
 import re
 import struct
@@ -19,6 +20,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -30,12 +32,17 @@ from pagelathe.llm.scratch import BROADCAST_ROWS, new_path, written
 #: A package is closed and another begun after so many bytes of records; ranges of neighbouring records are read together
 #: up to RANGE_BYTES.
 PACKAGE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: A reading task takes about so many bytes of records; fewer where that leaves cores idle.
+TASK_BYTES = 64 << 20
 #: A payload shorter than this is never a revisit.
 REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _URN = "urn:pagelathe:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_NO_URL = "urn:pagelathe:no-url"
+#: Record types that stand for a page.
+PAGES = ("response", "revisit", "resource")
 
 
 # ---- ZIP
@@ -115,45 +122,90 @@ def data_start(f, member: Member) -> int:
 # ---- WARC
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def target(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else _NO_URL
+
+
+def surt(url: str) -> str:
+    """The sort-friendly key of a URL: its host's labels from the last to the first, then path and query in lower case."""
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname, parts.port
+    except ValueError:
+        host = None
+    if not host:
+        return url.lower()
+    labels = re.sub(r"^www[0-9]*\.", "", host).split(".")
+    extra = f":{port}" if port and (parts.scheme, port) not in (("http", 80), ("https", 443)) else ""
+    return f"{','.join(reversed(labels))}{extra}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower()
+
+
+def _build(head: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info(name: str) -> bytes:
+    """The record that opens an archive."""
+    block = b"software: pagelathe\r\nformat: WARC File Format 1.1\r\n"
+    return _build(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], block)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """A response record, or a revisit that keeps the HTTP headers and refers to the record of another page."""
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit")]
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:pagelathe:no-url"
-    head += [f"WARC-Record-ID: <{_URN}{'null' if page_id is None else page_id}>".encode(), b"WARC-Date: " + DATE.encode(), f"WARC-Target-URI: {target}".encode(), f"WARC-Payload-Digest: sha256:{digest}".encode()]
+    kind = "response" if refers_to is None else "revisit"
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{_URN}{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target(url)}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{_URN}{refers_to}>".encode(), b"WARC-Profile: " + _PROFILE.encode()]
+        head += [f"WARC-Refers-To: <{_URN}{refers_to}>", f"WARC-Refers-To-Target-URI: {target(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Profile: {_PROFILE}"]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    if refers_to is None:
-        block += payload
-    head += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
-    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return _build([*head, "Content-Type: application/http; msgtype=response"], block + (payload if refers_to is None else b""))
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    lines = raw.decode("utf-8").split("\r\n")
+    lines = raw.decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
+def _matches(named: str, payload: bytes) -> bool:
+    """Whether a labelled digest (hexadecimal or base 32) is that of a payload; unknown algorithms are taken on trust."""
+    kind, _, value = named.rpartition(":")
+    if kind not in ("sha256", "sha1", "md5"):
+        return True
+    own = hashlib.new(kind, payload).digest()
+    return value.lower() == own.hex() or value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=")
+
+
+def _own_id(uri: str | None) -> int | None:
+    """The page id in one of the writer's record ids."""
+    m = re.fullmatch(rf"<?{re.escape(_URN)}(-?\d+)>?", uri or "")
+    return int(m[1]) if m else None
+
+
 def parse(raw: bytes) -> dict:
-    """A record's fields. A response's digest and length are computed from its payload and checked against its header."""
+    """A record's fields; page_id and refers_to are null for records of another writer. A payload is checked against its digest.
+
+    payload_digest is the bare SHA-256 of a payload; of a revisit, what its header names, without a label of sha256.
+    named_digest is the header's own, by which a revisit finds its response.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/1."):
         raise ValueError("not a WARC record")
     warc = _headers(head)
     length = int(warc["content-length"])
     block = rest[:length]
-    if len(block) != length or rest[length:] != b"\r\n\r\n":
+    if len(block) != length or rest[length:] not in (b"\r\n\r\n", b""):
         raise ValueError("record length does not fit")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    named = warc["warc-payload-digest"].removeprefix("sha256:")
-    own = warc["warc-record-id"].strip("<>").removeprefix(_URN)
-    out = {"page_id": None if own == "null" else int(own), "url": warc["warc-target-uri"], "record_type": warc["warc-type"], "payload_digest": named, "payload_bytes": int(_headers(http)["content-length"]), "refers_to": None, "payload": None}
-    if warc["warc-type"] == "revisit":
-        out["refers_to"] = int(warc["warc-refers-to"].strip("<>").removeprefix(_URN))
+    kind, named = warc.get("warc-type", ""), warc.get("warc-payload-digest", "")
+    out = {"page_id": _own_id(warc.get("warc-record-id")), "record_id": warc.get("warc-record-id", "").strip("<>"), "url": warc.get("warc-target-uri"), "record_type": kind, "payload_digest": named.removeprefix("sha256:") or None, "named_digest": named or None, "payload_bytes": None, "refers_to": None, "refers_to_url": None, "payload": None}
+    if kind not in PAGES:
+        return out
+    http, mark, payload = block.partition(b"\r\n\r\n") if "application/http" in warc.get("content-type", "application/http") else (b"", b"", block)
+    if kind == "revisit":
+        size = _headers(http).get("content-length", "")
+        out |= {"refers_to": _own_id(warc.get("warc-refers-to")), "refers_to_url": warc.get("warc-refers-to-target-uri"), "payload_bytes": int(size) if size.isdigit() else None}
     else:
-        if hashlib.sha256(payload).hexdigest() != named or len(payload) != out["payload_bytes"]:
-            raise ValueError(f"payload of {own} does not match its digest")
-        out["payload"] = payload
+        if not _matches(named, payload):
+            raise ValueError(f"payload of {out['record_id']} does not match its digest")
+        out |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
     return out
 
 
@@ -167,16 +219,22 @@ class Package:
         self._raw = fs.open_output_stream(inner)
         self._zip = zipfile.ZipFile(self._raw, "w", zipfile.ZIP_STORED, allowZip64=True)
         self._data = self._zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
+        self._put(info(DATA.rpartition("/")[2]))
 
-    def add(self, page_id, raw: bytes) -> None:
+    def _put(self, raw: bytes) -> tuple[int, int]:
         packed = gzip.compress(raw, self.level, mtime=0)
         self._data.write(packed)
-        self.rows.append({"id": page_id, "offset": self.at, "length": len(packed)})
         self.at += len(packed)
+        return self.at - len(packed), len(packed)
+
+    def add(self, url: str | None, digest: str, refers_to: int | None, raw: bytes) -> None:
+        offset, length = self._put(raw)
+        fields = {"url": target(url), "mime": "text/html" if refers_to is None else "warc/revisit", "status": "200", "digest": f"sha256:{digest}", "length": str(length), "offset": str(offset), "filename": DATA.rpartition("/")[2]}
+        self.rows.append(f"{surt(target(url))} {re.sub('[^0-9]', '', DATE)} {json.dumps(fields)}\n")
 
     def close(self) -> tuple[str, int, int]:
         self._data.close()
-        self._zip.writestr(zipfile.ZipInfo(INDEX), "".join(f"{json.dumps(x)}\n" for x in self.rows))
+        self._zip.writestr(zipfile.ZipInfo(INDEX), "".join(sorted(self.rows)))
         self._zip.close()
         self._raw.close()
         return self.path, len(self.rows), self.at
@@ -192,18 +250,20 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
-    firsts = written(firsts, "firsts")
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
+    firsts = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(least.alias("least"), F.count("*").alias("n"))
+    firsts = written(firsts.where("n > 1 AND least IS NOT NULL").select("digest", F.col("least.id").alias("first"), F.col("least.url").alias("first_url")), "firsts")
     if firsts.count() <= BROADCAST_ROWS // 4:
         firsts = F.broadcast(firsts)
-    rows = rows.join(firsts, "digest", "left").select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    again = ~F.col("id").eqNullSafe(F.col("first"))
+    rows = rows.join(firsts, "digest", "left").select("id", "url", "payload", "digest", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, now = [], None
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, digest, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 now = now or Package(f"{folder}/{uuid.uuid4().hex}.zip", level)
-                now.add(page_id, record(page_id, url, payload, digest, refers_to))
+                now.add(url, digest, refers_to, record(page_id, url, payload, digest, refers_to, refers_url))
                 if now.at >= PACKAGE_BYTES:
                     done.append(now.close())
                     now = None
@@ -216,23 +276,68 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return written(rows.mapInArrow(run, "path string, records long, bytes long"), "packages")
 
 
+def _index_lines(f, member: Member) -> Iterator[dict]:
+    """The JSON part of each line of an index member, which may be gzipped, or deflated by the ZIP."""
+    head = _read(f, member.header, 30)
+    raw = _read(f, member.header + 30 + sum(struct.unpack_from("<HH", head, 26)), member.packed)
+    if member.method == 8:
+        raw = zlib.decompress(raw, -15)
+    elif member.method:
+        raise ValueError(f"{member.name} is compressed in a way that is not supported")
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    for line in raw.splitlines():
+        at = line.find(b"{")
+        if at >= 0 and not line.startswith(b"!"):
+            yield json.loads(line[at:])
+
+
+def _scan(f, at: int, size: int) -> Iterator[tuple[int, int]]:
+    """Position and length of each record of an archive, found by reading through it."""
+    done = 0
+    plain = _read(f, at, min(2, size)) != b"\x1f\x8b"
+    while done < size:
+        if plain:
+            head = b""
+            while b"\r\n\r\n" not in head and done + len(head) < size:
+                head += _read(f, at + done + len(head), min(4096, size - done - len(head)))
+            top = head.partition(b"\r\n\r\n")[0]
+            length = min(len(top) + 8 + int(_headers(top)["content-length"]), size - done)
+        else:
+            d, length = zlib.decompressobj(31), 0
+            while not d.eof and done + length < size:
+                some = _read(f, at + done + length, min(1 << 16, size - done - length))
+                d.decompress(some)
+                length += len(some) - len(d.unused_data)
+        yield at + done, length
+        done += length
+
+
 def ranges(path: str) -> Iterator[tuple[int, list[int]]]:
     """(position in the file, lengths of the records there), neighbours together up to RANGE_BYTES."""
     fs, inner = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(inner) as f:
-        members = {m.name: m for m in directory(f, f.size())}
-        base, index = data_start(f, members[DATA]), members[INDEX]
-        lines = io.BytesIO(_read(f, data_start(f, index), index.size))
-    at, lengths = None, []
-    for x in map(json.loads, lines):
-        here = base + x["offset"]
-        if lengths and (here != at + sum(lengths) or sum(lengths) + x["length"] > RANGE_BYTES):
-            yield at, lengths
-            lengths = []
-        at = at if lengths else here
-        lengths.append(x["length"])
-    if lengths:
-        yield at, lengths
+        members = directory(f, f.size())
+        archives = {m.name.rpartition("/")[2]: m for m in members if re.search(r"\.warc(?:\.gz)?$", m.name)}
+        found: dict[str, dict[int, int]] = {}
+        for m in members:
+            if re.search(r"\.cdxj?(?:\.gz)?$", m.name):
+                for x in _index_lines(f, m):
+                    name = x.get("filename", "").rpartition("/")[2] or (next(iter(archives)) if len(archives) == 1 else "")
+                    if name in archives and "offset" in x and "length" in x:
+                        found.setdefault(name, {})[int(x["offset"])] = int(x["length"])
+        for name, m in sorted(archives.items()):
+            base = data_start(f, m)
+            at, lengths = None, []
+            records = ((base + o, n) for o, n in sorted(found[name].items())) if name in found else _scan(f, base, m.size)
+            for here, n in records:
+                if lengths and (here != at + sum(lengths) or sum(lengths) + n > RANGE_BYTES):
+                    yield at, lengths
+                    lengths = []
+                at = at if lengths else here
+                lengths.append(n)
+            if lengths:
+                yield at, lengths
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +347,13 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["path", "at", "lengths"])
 
 
+RECORD = "page_id long, record_id string, url string, payload_bytes long, payload_digest string, named_digest string, record_type string, refers_to long, refers_to_url string"
+
+
 def _fetch(payloads: bool):
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads, "archive", "position"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payloads, pa.string(), pa.int64()]
+    kinds = {"page_id": pa.int64(), "record_id": pa.string(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "named_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "refers_to_url": pa.string()}
+    kinds |= {"payload": pa.binary()} if payloads else {}
+    kinds |= {"archive": pa.string(), "position": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,23 +363,42 @@ def _fetch(payloads: bool):
                     data = _read(f, at, sum(lengths))
                 rows, x = [], 0
                 for n in lengths:
-                    rows.append(parse(zlib.decompress(data[x : x + n], 31)) | {"archive": path.rpartition("/")[2], "position": at + x})
+                    one = data[x : x + n]
+                    row = parse(zlib.decompress(one, 31) if one[:2] == b"\x1f\x8b" else one)
+                    if row["record_type"] in PAGES:
+                        rows.append(row | {"archive": path.rpartition("/")[2], "position": at + x})
                     x += n
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
 
     return run
 
 
 def read_packages(packages: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record of the packages at packages.path: page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, archive, position, and payload if asked for (null for revisits).
+    """A row for each page record of the packages at packages.path: the columns of RECORD, payload if asked for (null for
+    revisits, see resolve), archive, position. Requests, metadata and the like are passed over.
+
+    A package without archives gives nothing; one that is broken, or whose archive is compressed by the ZIP, is an error.
+    Tasks read ranges, not packages, so one large package is read by many; their number follows from the bytes.
+    """
+    spark = packages.sparkSession
+    paths = packages.select("path")
+    listed = written(paths.repartition(max(1, paths.count())).mapInArrow(_list, "path string, at long, lengths array<long>"), "ranges")
+    n, total = listed.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+    tasks = max(1, min(n, max(-(-total // TASK_BYTES), 2 * spark.sparkContext.defaultParallelism)))
+    schema = RECORD + ", payload binary" * payloads + ", archive string, position long"
+    return listed.repartition(tasks).mapInArrow(_fetch(payloads), schema)
+
+
+def resolve(records: DataFrame) -> DataFrame:
+    """records, read with payloads, with the payload that each revisit refers to; null where its response isn't there.
 
-    Tasks read ranges, not packages, so one large package is read by many.
+    Responses that some revisit names by digest are reduced to one for each digest before the join.
     """
-    listed = written(packages.select("path").repartition(F.col("path")).mapInArrow(_list, "path string, at long, lengths array<long>"), "ranges")
-    dealt = listed.repartition(F.col("path"), F.col("at"))
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, " + "payload binary, " * payloads + "archive string, position long"
-    return dealt.mapInArrow(_fetch(payloads), schema)
+    first = records.where("record_type <> 'revisit'").groupBy("named_digest").agg(F.first("payload").alias("__payload"))
+    wanted = records.where("record_type = 'revisit'").select("named_digest").distinct()
+    found = first.join(wanted, "named_digest", "left_semi").withColumnRenamed("named_digest", "__digest")
+    same = (F.col("record_type") == "revisit") & (F.col("named_digest") == F.col("__digest"))
+    return records.join(found, same, "left").withColumn("payload", F.coalesce("payload", "__payload")).drop("__payload", "__digest")
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import io
+import json
 import struct
 import zipfile
 
@@ -109,3 +112,65 @@ def test_broken_archives_are_refused():
         wz.parse(good.replace(b"payload\r\n\r\n", b"paxload\r\n\r\n"))
     with pytest.raises(ValueError, match="length"):
         wz.parse(good[:-6])
+
+
+def warc(kind, uri, payload, digest, http=True, extra=""):
+    block = (b"HTTP/1.0 200 OK\r\nX: y\r\n\r\n" if http else b"") + payload
+    mime = "application/http; msgtype=response" if http else "text/html"
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uri}>\r\nWARC-Target-URI: http://h/{uri}\r\n{extra}WARC-Payload-Digest: {digest}\r\nContent-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("index", ["cdxj", "cdx.gz", "deflated", "none"])
+def test_packages_of_another_writer(spark, tmp_path, index):
+    """Two archives, one plain, with names, digests and an index of another kind, or without an index."""
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    bodies = [b"first" * 50, b"second", b""]
+    records = [warc("warcinfo", "i", b"x", "-", False), warc("request", "q", b"GET", "-"), *(warc("response", f"r{i}", b, sha1(b)) for i, b in enumerate(bodies))]
+    records.append(warc("revisit", "v", b"", sha1(bodies[0]), True, "WARC-Refers-To-Target-URI: http://h/r0\r\n"))
+    packed = [gzip.compress(r) for r in records]
+    lines, at = [], 0
+    for p, r in zip(packed, records, strict=True):
+        if b"WARC-Type: re" in r and b"request" not in r:
+            lines.append("h)/x 20200101000000 " + json.dumps({"offset": str(at), "length": str(len(p)), "filename": "rec.warc.gz"}))
+        at += len(p)
+    text = "\n".join(lines).encode()
+    other = warc("resource", "p0", b"plain", "md5:" + hashlib.md5(b"plain").hexdigest(), False) + warc("metadata", "m", b"z", "-", False)
+    with zipfile.ZipFile(tmp_path / "other.wacz", "w") as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        z.writestr("archive/rec.warc.gz", b"".join(packed))
+        z.writestr("archive/more.warc", other)
+        if index != "none":
+            z.writestr("indexes/index.cdx.gz" if index == "cdx.gz" else "indexes/index.cdxj", gzip.compress(text) if index == "cdx.gz" else text, zipfile.ZIP_DEFLATED if index == "deflated" else zipfile.ZIP_STORED)
+    packages = spark.createDataFrame([(f"file://{tmp_path}/other.wacz",)], "path string")
+    got = {r.record_id: r for r in wz.resolve(wz.read_packages(packages, payloads=True)).collect()}
+    assert set(got) == {"urn:uuid:r0", "urn:uuid:r1", "urn:uuid:r2", "urn:uuid:v", "urn:uuid:p0"}
+    assert [bytes(got[f"urn:uuid:r{i}"].payload) for i in range(3)] == bodies and bytes(got["urn:uuid:p0"].payload) == b"plain"
+    assert got["urn:uuid:r0"].payload_digest == hashlib.sha256(bodies[0]).hexdigest() and got["urn:uuid:r0"].page_id is None
+    assert got["urn:uuid:v"].refers_to_url == "http://h/r0" and got["urn:uuid:v"].record_type == "revisit"
+    assert bytes(got["urn:uuid:v"].payload) == bodies[0]
+
+
+def test_revisits_are_resolved(spark):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    records = wz.read_packages(wz.write_pages(df, new_path(spark, "warc-resolve")), payloads=True)
+    got = wz.resolve(records).collect()
+    assert len(got) == len(ROWS) and all(r.payload is not None for r in got)
+    assert sorted((str(r.page_id), hashlib.sha256(r.payload).hexdigest()) for r in got) == sorted((str(r.page_id), r.payload_digest) for r in got)
+    assert {r.refers_to_url for r in got if r.refers_to == 2} == {"http://a/2%20x%0A"}
+
+
+def test_keys_and_index_lines(tmp_path):
+    assert wz.surt("https://www.Example.com:443/A/b?Q=1") == "com,example)/a/b?q=1" and wz.surt("http://a.b.c:8080") == "c,b,a:8080)/"
+    assert wz.surt("urn:pagelathe:no-url") == "urn:pagelathe:no-url" and wz.surt("http://[broken") == "http://[broken"
+    p = wz.Package(f"file://{tmp_path}/x.zip", 1)
+    p.add("http://b.org/", "0" * 64, None, wz.record(1, "http://b.org/", b"x", "0" * 64, None))
+    p.add("http://a.org/", "0" * 64, 1, wz.record(2, "http://a.org/", b"x", "0" * 64, 1, "http://b.org/"))
+    p.close()
+    with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        lines = z.read(wz.INDEX).decode().splitlines()
+        data = z.read(wz.DATA)
+    assert [x.split(" ")[:2] for x in lines] == [["org,a)/", "20240101000000"], ["org,b)/", "20240101000000"]]
+    own = json.loads(lines[0].split(" ", 2)[2])
+    raw = gzip.decompress(data[int(own["offset"]) :][: int(own["length"])])
+    assert b"WARC-Refers-To-Target-URI: http://b.org/" in raw and wz.parse(raw)["refers_to"] == 1
+    assert gzip.decompress(data[: int(json.loads(lines[1].split(" ", 2)[2])["offset"])]).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
