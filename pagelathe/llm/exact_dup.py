@@ -62,22 +62,29 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs, all columns, with one row left of each group of equal texts.
 
     Rows repeated with the same id and text leave one row; those with a null id leave one where no other row of their
-    group has an id.
+    group has an id. An id on several texts is judged text by text, so a text that stands nowhere else stays.
     """
     found = written(exact_groups(docs, id_col, text_col, keep), "exact")
-    gone = written(found.where(F.col(id_col).isNotNull() & ~F.col("kept")).select(id_col).distinct(), "gone")
-    out = by_ids(docs, id_col, gone, "left_anti")
-    twice = written(found.where(F.col(id_col).isNotNull() & F.col("kept")).groupBy(id_col).count().where("count > 1").select(id_col), "twice")
-    n_twice, blank = twice.count(), found.where(F.col(id_col).isNull()).limit(1).count()
-    if n_twice or blank:
-        text = F.sha2(normal(F.col(text_col)), 256).alias("__pl_sha")
-        odd = [by_ids(out, id_col, twice, "left_semi", n_twice)]
-        out = by_ids(out.where(F.col(id_col).isNotNull()), id_col, twice, "left_anti", n_twice)
-        if blank:
-            alone = found.where(F.col("keep_id").isNull()).select("text_sha256").distinct()
-            odd.append(docs.where(F.col(id_col).isNull()).withColumn("__pl_sha", text).join(alone, F.col("__pl_sha") == F.col("text_sha256"), "left_semi").drop("__pl_sha"))
-        for part in odd:
-            out = out.unionByName(part.withColumn("__pl_sha", text).dropDuplicates([id_col, "__pl_sha"]).drop("__pl_sha"))
+    own = found.where(F.col(id_col).isNotNull())
+    # ids that need their texts looked at: those on several rows of which some stay
+    odd = written(own.groupBy(id_col).agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays")).where("n > 1 AND stays").select(id_col), "odd")
+    n_odd, blank = odd.count(), found.where(F.col(id_col).isNull()).limit(1).count()
+    gone = written(own.where(~F.col("kept")).select(id_col).distinct(), "gone")
+    if not n_odd and not blank:
+        return by_ids(docs, id_col, gone, "left_anti")
+    sha = F.sha2(normal(F.col(text_col)), 256)
+    plain = by_ids(docs.where(F.col(id_col).isNotNull()), id_col, written(gone.union(odd).distinct(), "gone"), "left_anti")
+    # a kept row stands for its text: by id and text where it has an id, by text alone where it has none
+    kept = by_ids(own.where("kept"), id_col, odd, "left_semi", n_odd).select(F.col(id_col).alias("__pl_id"), F.col("text_sha256").alias("__pl_text")).distinct()
+    some = by_ids(docs.where(F.col(id_col).isNotNull()), id_col, odd, "left_semi", n_odd).withColumn("__pl_sha", sha)
+    parts = [some.join(kept, (F.col(id_col) == F.col("__pl_id")) & (F.col("__pl_sha") == F.col("__pl_text")), "left_semi")]
+    if blank:
+        alone = found.where("keep_id IS NULL").select(F.col("text_sha256").alias("__pl_text")).distinct()
+        nameless = docs.where(F.col(id_col).isNull()).withColumn("__pl_sha", sha)
+        parts.append(nameless.join(alone, F.col("__pl_sha") == F.col("__pl_text"), "left_semi"))
+    out = plain
+    for part in parts:
+        out = out.unionByName(part.dropDuplicates([id_col, "__pl_sha"]).drop("__pl_sha"))
     return out
 
 

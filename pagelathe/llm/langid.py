@@ -109,17 +109,19 @@ def fold(id_col: str = "doc_id"):
 
 
 def drop_unidentified(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: int = MARGIN, relative: float = RELATIVE) -> DataFrame:
-    """The rows of docs, all columns, whose language is not rejected; each row is judged by its own text."""
+    """The rows of docs, all columns, whose language is not rejected; each row is judged by its own text.
+
+    Only texts go to Python, and verdicts come back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(labelled, id_col, text_col, lang_col))
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Classifier(shared.value)
-        for batch in batches:
-            keep = [not own.rejected(own.predict(t.as_py()), margin, relative) for t in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for texts in batches:
+            yield pa.array([not own.rejected(own.predict(t.as_py()), margin, relative) for t in texts], pa.bool_())
+        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(run, "boolean")(F.col(text_col)))
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@
    similarity follows Beta(m + 1, n - m + 1); P(similarity >= threshold) equals the binomial tail
    P(Bin(n + 1, threshold) <= m). A pair goes when that falls below the chosen miss probability.
 4. Survivors are verified on the full shingle sets of the whole texts.
-5. Links give components. Buckets of three or more whose members still lie in different components are then compared
-   exhaustively across components: members outside the component of the bucket's center against all members, in a grid
-   of blocks. A task compares signatures, takes a pair only in the first band where it agrees, verifies survivors on
-   the full sets, likeliest first, and returns a link for each pair of components that it joins; once joined, further
-   pairs between them need no check. Nothing is capped, and no pair is emitted that isn't a link.
+5. Links give components. Buckets of three or more whose members still lie in different components are compared across
+   components: members outside the component of the bucket's center against all members, in a grid of blocks. Blocks carry
+   signatures only. For every two components in a block the likeliest pairs are picked, the texts of those alone are
+   fetched, once for each block, and verified on the full sets; where that links nothing, the next pairs follow, four times
+   as many each round, until no plausible pair is left. Nothing is capped, and a pair is verified at most once in a bucket.
+
+Sets are of 64-bit hashes of shingles, so "exact" is up to a collision of two shingles in one pair of texts.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.graph import components
-from pagelathe.llm.scratch import by_ids, discard, sized, written
+from pagelathe.llm.scratch import BROADCAST_ROWS, by_ids, discard, sized, written
 from pagelathe.llm.words import common, mix, shingle_sets
 
 #: Bands and hashes in a band. At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**32 = 3e-6.
@@ -36,8 +38,11 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the probability of dropping a pair that reaches the threshold, for each batch.
 BATCH, MISS = 32, 1e-6
-#: Members of an unresolved bucket on each side of a block of comparisons.
-BLOCK = 1024
+#: Members of an unresolved bucket on each side of a block of comparisons, and the pairs between two components of a block
+#: that are verified in the first round.
+BLOCK, FIRST_PAIRS = 1024, 4
+#: Buckets with more members than this get their center by a broadcast.
+LARGE = 1000
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)
@@ -97,6 +102,7 @@ def _sketcher(n_words: int):
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sigs.append(signature(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n_shingles", "key", "sig"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -129,28 +135,32 @@ def _verifier(n_words: int, num: int, den: int):
                         if den * both >= num * (len(x) + len(y) - both):
                             keep.append(at + k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _block_linker(n_words: int, num: int, den: int, miss: float):
-    """Links that join components within a pair of blocks of a bucket: columns own, id, label, main, center, band, sig, text.
+def _block_candidates(num: int, den: int, miss: float, low: int, high: int):
+    """Pairs of a block of a bucket worth verifying: columns own, id, label, now, main, center, band, sig.
 
-    Members of one block are compared with those of the other (with each other where both are the same block) if at
-    least one lies outside the component of the bucket's center.
+    Members of one block are compared with those of the other (with each other where both are the same block) if at least
+    one lies outside the component of the bucket's center. label and main are of the first round, now is the component of
+    this one. Of the plausible pairs between two components those ranked from low up to high are given, the likeliest
+    first, if the two are still apart; a row with nulls tells that there are more.
     """
+    names = ["bucket", "row", "col", "a", "b"]
 
-    def run(block: pa.Table) -> pa.Table:
+    def run(key: tuple, block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         sig = _matrix(block.column("sig"))
-        ids, labels, main, center, own = (block.column(c).to_numpy() for c in ("id", "label", "main", "center", "own"))
+        ids, labels, now, main, center, own = (block.column(c).to_numpy() for c in ("id", "label", "now", "main", "center", "own"))
         band = block.column("band")[0].as_py()
         minor = labels != main
         same = own.min() == own.max()
         left, right, score = [], [], []
         for i in np.flatnonzero(minor):
             # the center has been compared with all; of two minor members only the smaller id asks
-            other = np.flatnonzero((labels != labels[i]) & (ids != center) & (same | (own != own[i])) & (~minor | (ids > ids[i])))
+            other = np.flatnonzero((now != now[i]) & (ids != center) & (same | (own != own[i])) & (~minor | (ids > ids[i])))
             agree = np.zeros(len(other), dtype=np.int64)
             for at in range(0, HASHES, BATCH):
                 if not len(other):
@@ -166,29 +176,55 @@ def _block_linker(n_words: int, num: int, den: int, miss: float):
             left.append(np.full(len(other), i))
             right.append(other)
             score.append(agree)
-        found: list[tuple[int, int]] = []
+        a = b = np.zeros(0, np.int64)
+        more = False
         if left:
-            left, right, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-            needed = np.unique(np.concatenate((left, right)))
-            texts = block.column("text").take(pa.array(needed))
-            sets = dict(zip(needed.tolist(), shingle_sets(texts, n_words), strict=True))
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while x in root:
-                    x = root[x]
-                return x
-
-            for k in np.argsort(-score, kind="stable").tolist():
-                i, j = int(left[k]), int(right[k])
-                a, b = find(int(labels[i])), find(int(labels[j]))
-                if a != b:
-                    x, y = sets[i], sets[j]
-                    if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                        both = common(x, y)
-                        if den * both >= num * (len(x) + len(y) - both):
-                            root[max(a, b)] = min(a, b)
-                            found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+            i, j, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+            lo, hi = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
+            order = np.lexsort((ids[j], ids[i], -score, hi, lo))
+            i, j, lo, hi = i[order], j[order], lo[order], hi[order]
+            new = np.ones(len(i), dtype=bool)
+            new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
+            more = bool((rank >= high).any())
+            some = (rank >= low) & (rank < high)
+            a, b = ids[i[some]], ids[j[some]]
+        bucket, row, col = (k.as_py() for k in key)
+        n = len(a) + more
+        rows = [pa.array([bucket] * n, pa.int64()), pa.array([row] * n, pa.int32()), pa.array([col] * n, pa.int32())]
+        gap = [None] * more
+        return pa.table([*rows, pa.array([*a.tolist(), *gap], pa.int64()), pa.array([*b.tolist(), *gap], pa.int64())], names)
+
+    return run
+
+
+def _block_verifier(n_words: int, num: int, den: int):
+    """Links among a block's pairs, given the texts of their members: a pair is checked if its ends aren't linked already."""
+
+    def run(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        members = members.combine_chunks()
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, s in zip(members.column("id").to_pylist(), shingle_sets(members.column("text"), n_words), strict=True):
+            sets.setdefault(i, []).append(s)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        def linked(x: np.ndarray, y: np.ndarray) -> bool:
+            if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+                return False
+            both = common(x, y)
+            return den * both >= num * (len(x) + len(y) - both)
+
+        found = []
+        for i, j in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            a, b = find(i), find(j)
+            if a != b and any(linked(x, y) for x in sets.get(i, ()) for y in sets.get(j, ())):
+                root[max(a, b)] = min(a, b)
+                found.append((min(i, j), max(i, j)))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -200,8 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id that links reach, itself included; kept tells whether it is the row's own id.
     Null and empty texts, and those without words, have n_shingles 0 and are linked with nothing. A row with a null
-    id gets a null component, is linked with nothing and is kept. Rows repeated with the same id and text share a
-    class and, if it is theirs, are all kept. An empty table gives an empty result; other columns are not read.
+    id gets a null component, is linked with nothing and is kept. Rows of one id are one document, so if their texts
+    differ they lie in one component, which has the links of all of them; if it is theirs, all are kept. An empty table
+    gives an empty result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = written(rows.mapInArrow(_sketcher(n_words), "id long, n_shingles long, key binary, sig binary"), "sketch")
@@ -210,11 +247,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_reps = reps.count()
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
     bands = reps.select("id", bands.alias("band", "bucket"))
-    centers = bands.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("m")).where("m > 1")
-    shared = written(bands.join(centers, "bucket"), "buckets")
+    centers = written(bands.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("m")).where("m > 1"), "centers")
+    # members of large buckets find their center by a broadcast of those few, so that none is gathered in one task
+    large = centers.where(F.col("m") > LARGE)
+    n_large = large.count()
+    if n_large > BROADCAST_ROWS:
+        shared = bands.join(centers, "bucket")
+    elif n_large:
+        large = F.broadcast(large)
+        shared = bands.join(large, "bucket").unionByName(bands.join(large.select("bucket"), "bucket", "left_anti").join(centers.where(F.col("m") <= LARGE), "bucket"))
+    else:
+        shared = bands.join(centers, "bucket")
+    shared = written(shared.select("bucket", "id", "band", "center", "m"), "buckets")
+    discard(centers)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return written(by_ids(rows, "id", ids, "left_semi").dropDuplicates(["id"]), "texts")
+        return written(by_ids(rows, "id", ids, "left_semi").dropDuplicates(["id", "text"]), "texts")
 
     # stars
     star = shared.where("id != center").groupBy(F.col("center").alias("a"), F.col("id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
@@ -223,34 +271,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct(), "nodes")
     texts = texts_of(nodes)
     full = alive.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    links = written(full.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n_words, num, den), "a long, b long"), "links")
-    for x in (texts, nodes, alive):
+    links = full.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n_words, num, den), "a long, b long")
+    # an id whose texts differ ties their classes together
+    several = written(usable.groupBy("id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x != y").select("id"), "several")
+    n_several = several.count()
+    if n_several:
+        own = usable.select("id", "key").join(sized(several, n_several), "id").join(reps.select("key", F.col("id").alias("rep")), "key")
+        links = links.unionByName(own.where("id != rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")))
+    links = written(links, "links")
+    for x in (texts, nodes, alive, several):
         discard(x)
     labels = components(links)
-    n_labels = labels.count()
 
     # buckets that still hold several components
-    named = shared.where("m > 2").join(sized(labels.toDF("id", "label"), n_labels), "id", "left").select("bucket", "band", "id", "center", "m", F.coalesce("label", "id").alias("label"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")).where("lo != hi").select("bucket", "main")
-    open_ = written(named.join(split, "bucket"), "open")
-    if open_.limit(1).count():
+    apart: DataFrame | None = None
+    low, high = 0, FIRST_PAIRS
+    while True:
+        n_labels = labels.count()
+        now = sized(labels.toDF("id", "now"), n_labels)
+        if apart is None:
+            named = shared.where("m > 2").join(now, "id", "left").withColumn("now", F.coalesce("now", "id")).withColumn("label", F.col("now"))
+        else:
+            named = apart.drop("now").join(now, "id", "left").withColumn("now", F.coalesce("now", "id"))
+        main = F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")
+        split = named.groupBy("bucket").agg(F.min("now").alias("lo"), F.max("now").alias("hi"), main).where("lo != hi").select("bucket", "main")
+        # buckets have many members or are few in number of rows each; the split ones are joined back as their members are
+        still = written(named.drop("main").join(split, "bucket"), "apart")
+        discard(apart)
+        apart = still
+        if not apart.limit(1).count():
+            break
         n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         own, every = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.explode(F.sequence(F.lit(0), n_blocks - 1))
-        pairs = open_.select("bucket", "band", "id", "center", "label", "main", own.alias("own"), every.alias("other"))
-        pairs = pairs.withColumns({"row": F.least("own", "other"), "col": F.greatest("own", "other")}).drop("other")
-        texts = texts_of(open_.select("id").distinct())
-        members = written(texts.join(reps.select("id", "sig"), "id"), "members")
-        laid = pairs.join(members, "id")
-        fresh = laid.groupBy("bucket", "row", "col").applyInArrow(_block_linker(n_words, num, den, miss), "a long, b long")
-        links = written(links.unionByName(fresh), "links")
-        discard(texts)
-        discard(members)
-        labels = components(links)
-        n_labels = labels.count()
+        laid = apart.select("bucket", "band", "id", "center", "label", "now", "main", own.alias("own"), every.alias("other"))
+        laid = laid.withColumns({"row": F.least("own", "other"), "col": F.greatest("own", "other")}).drop("other").join(reps.select("id", "sig"), "id")
+        kind = "bucket long, row int, col int, a long, b long"
+        pairs = written(laid.groupBy("bucket", "row", "col").applyInArrow(_block_candidates(num, den, miss, low, high), kind), "pairs")
+        more = pairs.where("a IS NULL").limit(1).count()
+        pairs_ = pairs.where("a IS NOT NULL")
+        place = ["bucket", "row", "col"]
+        asked = written(pairs_.select(*place, F.col("a").alias("id")).union(pairs_.select(*place, "b")).distinct(), "asked")
+        texts = texts_of(asked.select("id").distinct())
+        members = asked.join(texts, "id")
+        fresh = written(pairs_.groupBy(*place).cogroup(members.groupBy(*place)).applyInArrow(_block_verifier(n_words, num, den), "a long, b long"), "fresh")
+        for x in (pairs, asked, texts):
+            discard(x)
+        if fresh.limit(1).count():
+            links = links.unionByName(fresh)
+            labels = components(links)
+        if not more:
+            break
+        low, high = high, high * 4
+    discard(apart)
+    discard(shared)
+    n_labels = labels.count()
     of = reps.select("key", F.col("id").alias("rep")).join(sized(labels.toDF("rep", "label"), n_labels), "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))
-    out = sketch.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(sized(of, n_reps), "key", "left")
     component = F.coalesce("label", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    columns = [F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")]
+    # rows that are linked with nothing don't take part in the join
+    inner = usable.select("id", "n_shingles", "key").join(sized(of, n_reps), "key", "left").select(*columns)
+    alone = sketch.where("key IS NULL OR id IS NULL").select("id", "n_shingles", F.lit(None).cast("long").alias("label")).select(*columns)
+    return inner.unionByName(alone)
 
 
 def op2_near_dup(spark, sf_dir: str) -> DataFrame:

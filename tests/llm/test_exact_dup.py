@@ -58,3 +58,11 @@ def test_drop_leaves_one_of_each(spark, rows):
             expected[sha] = i if expected.get(sha) is None else min(expected[sha], i)
     assert sorted((str(r.doc_id), hashlib.sha256((r.text or "").translate(UP).encode()).hexdigest()) for r in got) == sorted((str(i), s) for s, i in expected.items())
     assert df.columns == ["doc_id", "text", "keep_id"]
+
+
+def test_one_id_on_several_texts(spark):
+    """Texts are judged one by one: a text that stands nowhere else is not lost with a copy of the same id."""
+    rows = [(1, "x"), (2, "X"), (2, "unique"), (2, "unique"), (3, "unique"), (4, "y"), (4, "z"), (5, "Y"), (None, "n"), (None, "N"), (None, "x")]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, norm string")
+    got = sorted(((r.doc_id, r.text.lower()) for r in ed.drop_exact(docs).collect()), key=str)
+    assert got == sorted([(1, "x"), (2, "unique"), (4, "y"), (4, "z"), (None, "n")], key=str)

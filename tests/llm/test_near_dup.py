@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pagelathe.llm import near_dup as nd
@@ -64,9 +66,12 @@ def test_equals_brute_force(spark, n):
     assert sorted((tuple(g) for g in got), key=str) == brute(rows, n)
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("block,first,large", [(7, 4, 1000), (1024, 1, 5), (16, 1, 2)])
+def test_blocks_of_a_large_bucket(spark, monkeypatch, block, first, large):
     """A family whose members are linked through each other but not with its smallest id."""
-    monkeypatch.setattr(nd, "BLOCK", 7)
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "FIRST_PAIRS", first)
+    monkeypatch.setattr(nd, "LARGE", large)
     r = random.Random(3)
     base = [r.choice(VOCAB) for _ in range(100)]
     rows = []
@@ -118,3 +123,47 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), 100: 0, 200: 200, 300: 200, 400: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_id_on_several_texts(spark):
+    """An id is one document: its texts lie in one component, with the links of all of them."""
+    base = [f"w{i}" for i in range(60)]
+    text = lambda *gone: " ".join(f"x{i}" if i in gone else w for i, w in enumerate(base))
+    other, third = " ".join(f"y{i}" for i in range(40)), " ".join(f"z{i}" for i in range(40))
+    rows = [(1, text()), (1, other), (2, other), (3, text(59)), (4, third), (5, third + " end"), (6, third), (6, "quite alone here"), (7, "alone too")]
+    r = random.Random(0)
+    for _ in range(2):
+        r.shuffle(rows)
+        got = {(x.doc_id, x.component_id) for x in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)}
+
+
+def test_recall_on_documents(spark):
+    """Every pair of documents of sf0.01 at similarity 0.8 lies in one component, and components hold linked pairs only."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    ids, sets = table["doc_id"].to_pylist(), list(shingle_sets(table["text"].combine_chunks(), 2))
+    place, rows = {}, defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            rows[x].append(i)
+    counts = defaultdict(int)
+    for own in rows.values():
+        for k, i in enumerate(own):
+            for j in own[k + 1 :]:
+                counts[i, j] += 1
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(i, j) for (i, j), n in counts.items() if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n)]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    for i in range(len(ids)):
+        place.setdefault(find(i), []).append(ids[i])
+    want = {i: min(own) for own in place.values() for i in own}
+    got = {r.doc_id: r.component_id for r in nd.op2_near_dup(spark, "/root/testdata/sf0.01").collect()}
+    assert len(pairs) > 100 and got == want
