@@ -9,10 +9,11 @@
    P(Bin(n + 1, threshold) <= m). A pair goes when that falls below the chosen miss probability.
 4. Survivors are verified on the full shingle sets of the whole texts.
 5. Links give components. Buckets of three or more whose members still lie in different components are compared across
-   components: members outside the component of the bucket's center against all members, in a grid of blocks. Blocks carry
-   signatures only. For every two components in a block the likeliest pairs are picked, the texts of those alone are
-   fetched, once for each block, and verified on the full sets; where that links nothing, the next pairs follow, four times
-   as many each round, until no plausible pair is left. Nothing is capped, and a pair is verified at most once in a bucket.
+   components: members outside the component of the bucket's center against all members, in a grid of blocks. Blocks first
+   carry signatures only, and give back the members that have a plausible partner in another component; a pair counts only
+   in the first band where it agrees. Texts are fetched for those members alone, and their pairs verified on the full sets,
+   likeliest first; a link is returned for each pair of components that it joins, and once joined, further pairs between
+   them need no check. Nothing is capped, and no pair is emitted that isn't a link.
 
 Sets are of 64-bit hashes of shingles, so "exact" is up to a collision of two shingles in one pair of texts.
 """
@@ -38,9 +39,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the probability of dropping a pair that reaches the threshold, for each batch.
 BATCH, MISS = 32, 1e-6
-#: Members of an unresolved bucket on each side of a block of comparisons, and the pairs between two components of a block
-#: that are verified in the first round.
-BLOCK, FIRST_PAIRS = 1024, 4
+#: Members of an unresolved bucket on each side of a block of comparisons.
+BLOCK = 1024
 #: Buckets with more members than this get their center by a broadcast.
 LARGE = 1000
 _rng = np.random.default_rng(7)
@@ -140,72 +140,60 @@ def _verifier(n_words: int, num: int, den: int):
     return run
 
 
-def _block_candidates(num: int, den: int, miss: float, low: int, high: int):
-    """Pairs of a block of a bucket worth verifying: columns own, id, label, now, main, center, band, sig.
+def _block_pairs(block: pa.Table, num: int, den: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plausible pairs across components in a block of a bucket, with the hashes that agree: columns own, id, label, main,
+    center, band, sig.
 
-    Members of one block are compared with those of the other (with each other where both are the same block) if at least
-    one lies outside the component of the bucket's center. label and main are of the first round, now is the component of
-    this one. Of the plausible pairs between two components those ranked from low up to high are given, the likeliest
-    first, if the two are still apart; a row with nulls tells that there are more.
+    Members of one block are compared with those of the other (with each other where both are the same block) if at
+    least one lies outside the component of the bucket's center.
     """
-    names = ["bucket", "row", "col", "a", "b"]
-
-    def run(key: tuple, block: pa.Table) -> pa.Table:
+    sig = _matrix(block.column("sig"))
+    ids, labels, main, center, own = (block.column(c).to_numpy() for c in ("id", "label", "main", "center", "own"))
+    band = block.column("band")[0].as_py()
+    minor = labels != main
+    same = own.min() == own.max()
+    left, right, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(minor):
+        # the center has been compared with all; of two minor members only the smaller id asks
+        other = np.flatnonzero((labels != labels[i]) & (ids != center) & (same | (own != own[i])) & (~minor | (ids > ids[i])))
+        agree = np.zeros(len(other), dtype=np.int64)
+        for at in range(0, HASHES, BATCH):
+            if not len(other):
+                break
+            to = min(HASHES, at + BATCH)
+            agree = agree + (sig[other, at:to] == sig[i, at:to]).sum(axis=1)
+            ok = agree >= fewest(to, num, den, miss)
+            other, agree = other[ok], agree[ok]
+        if len(other) and band:
+            head = band * ROWS
+            ok = ~(sig[other, :head] == sig[i, :head]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+            other, agree = other[ok], agree[ok]
+        left.append(np.full(len(other), i))
+        right.append(other)
+        score.append(agree)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(score)
+
+
+def _block_members(num: int, den: int, miss: float):
+    """The rows of a block that stand in a plausible pair."""
+
+    def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        sig = _matrix(block.column("sig"))
-        ids, labels, now, main, center, own = (block.column(c).to_numpy() for c in ("id", "label", "now", "main", "center", "own"))
-        band = block.column("band")[0].as_py()
-        minor = labels != main
-        same = own.min() == own.max()
-        left, right, score = [], [], []
-        for i in np.flatnonzero(minor):
-            # the center has been compared with all; of two minor members only the smaller id asks
-            other = np.flatnonzero((now != now[i]) & (ids != center) & (same | (own != own[i])) & (~minor | (ids > ids[i])))
-            agree = np.zeros(len(other), dtype=np.int64)
-            for at in range(0, HASHES, BATCH):
-                if not len(other):
-                    break
-                to = min(HASHES, at + BATCH)
-                agree = agree + (sig[other, at:to] == sig[i, at:to]).sum(axis=1)
-                ok = agree >= fewest(to, num, den, miss)
-                other, agree = other[ok], agree[ok]
-            if len(other) and band:
-                head = band * ROWS
-                ok = ~(sig[other, :head] == sig[i, :head]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
-                other, agree = other[ok], agree[ok]
-            left.append(np.full(len(other), i))
-            right.append(other)
-            score.append(agree)
-        a = b = np.zeros(0, np.int64)
-        more = False
-        if left:
-            i, j, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-            lo, hi = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
-            order = np.lexsort((ids[j], ids[i], -score, hi, lo))
-            i, j, lo, hi = i[order], j[order], lo[order], hi[order]
-            new = np.ones(len(i), dtype=bool)
-            new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
-            more = bool((rank >= high).any())
-            some = (rank >= low) & (rank < high)
-            a, b = ids[i[some]], ids[j[some]]
-        bucket, row, col = (k.as_py() for k in key)
-        n = len(a) + more
-        rows = [pa.array([bucket] * n, pa.int64()), pa.array([row] * n, pa.int32()), pa.array([col] * n, pa.int32())]
-        gap = [None] * more
-        return pa.table([*rows, pa.array([*a.tolist(), *gap], pa.int64()), pa.array([*b.tolist(), *gap], pa.int64())], names)
+        left, right, _ = _block_pairs(block, num, den, miss)
+        return block.take(pa.array(np.unique(np.concatenate((left, right)))))
 
     return run
 
 
-def _block_verifier(n_words: int, num: int, den: int):
-    """Links among a block's pairs, given the texts of their members: a pair is checked if its ends aren't linked already."""
+def _block_linker(n_words: int, num: int, den: int, miss: float):
+    """Links that join components within a block, given its rows of _block_members with their texts."""
 
-    def run(pairs: pa.Table, members: pa.Table) -> pa.Table:
-        members = members.combine_chunks()
-        sets: dict[int, list[np.ndarray]] = {}
-        for i, s in zip(members.column("id").to_pylist(), shingle_sets(members.column("text"), n_words), strict=True):
-            sets.setdefault(i, []).append(s)
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        ids, labels = (block.column(c).to_numpy() for c in ("id", "label"))
+        left, right, score = _block_pairs(block, num, den, miss)
+        sets = list(shingle_sets(block.column("text"), n_words))
+        found: list[tuple[int, int]] = []
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -213,18 +201,16 @@ def _block_verifier(n_words: int, num: int, den: int):
                 x = root[x]
             return x
 
-        def linked(x: np.ndarray, y: np.ndarray) -> bool:
-            if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                return False
-            both = common(x, y)
-            return den * both >= num * (len(x) + len(y) - both)
-
-        found = []
-        for i, j in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            a, b = find(i), find(j)
-            if a != b and any(linked(x, y) for x in sets.get(i, ()) for y in sets.get(j, ())):
-                root[max(a, b)] = min(a, b)
-                found.append((min(i, j), max(i, j)))
+        for k in np.argsort(-score, kind="stable").tolist():
+            i, j = int(left[k]), int(right[k])
+            a, b = find(int(labels[i])), find(int(labels[j]))
+            if a != b:
+                x, y = sets[i], sets[j]
+                if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
+                    both = common(x, y)
+                    if den * both >= num * (len(x) + len(y) - both):
+                        root[max(a, b)] = min(a, b)
+                        found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -284,45 +270,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     # buckets that still hold several components
-    apart: DataFrame | None = None
-    low, high = 0, FIRST_PAIRS
-    while True:
-        n_labels = labels.count()
-        now = sized(labels.toDF("id", "now"), n_labels)
-        if apart is None:
-            named = shared.where("m > 2").join(now, "id", "left").withColumn("now", F.coalesce("now", "id")).withColumn("label", F.col("now"))
-        else:
-            named = apart.drop("now").join(now, "id", "left").withColumn("now", F.coalesce("now", "id"))
-        main = F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")
-        split = named.groupBy("bucket").agg(F.min("now").alias("lo"), F.max("now").alias("hi"), main).where("lo != hi").select("bucket", "main")
-        # buckets have many members or are few in number of rows each; the split ones are joined back as their members are
-        still = written(named.drop("main").join(split, "bucket"), "apart")
-        discard(apart)
-        apart = still
-        if not apart.limit(1).count():
-            break
+    n_labels = labels.count()
+    named = shared.where("m > 2").join(sized(labels.toDF("id", "label"), n_labels), "id", "left").select("bucket", "band", "id", "center", "m", F.coalesce("label", "id").alias("label"))
+    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")).where("lo != hi").select("bucket", "main")
+    open_ = written(named.join(split, "bucket"), "open")
+    if open_.limit(1).count():
         n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         own, every = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.explode(F.sequence(F.lit(0), n_blocks - 1))
-        laid = apart.select("bucket", "band", "id", "center", "label", "now", "main", own.alias("own"), every.alias("other"))
-        laid = laid.withColumns({"row": F.least("own", "other"), "col": F.greatest("own", "other")}).drop("other").join(reps.select("id", "sig"), "id")
-        kind = "bucket long, row int, col int, a long, b long"
-        pairs = written(laid.groupBy("bucket", "row", "col").applyInArrow(_block_candidates(num, den, miss, low, high), kind), "pairs")
-        more = pairs.where("a IS NULL").limit(1).count()
-        pairs_ = pairs.where("a IS NOT NULL")
-        place = ["bucket", "row", "col"]
-        asked = written(pairs_.select(*place, F.col("a").alias("id")).union(pairs_.select(*place, "b")).distinct(), "asked")
-        texts = texts_of(asked.select("id").distinct())
-        members = asked.join(texts, "id")
-        fresh = written(pairs_.groupBy(*place).cogroup(members.groupBy(*place)).applyInArrow(_block_verifier(n_words, num, den), "a long, b long"), "fresh")
-        for x in (pairs, asked, texts):
+        pairs = open_.select("bucket", "band", "id", "center", "label", "main", own.alias("own"), every.alias("other"))
+        pairs = pairs.withColumns({"row": F.least("own", "other"), "col": F.greatest("own", "other")}).drop("other")
+        laid = pairs.join(reps.select("id", "sig"), "id")
+        members = written(laid.groupBy("bucket", "row", "col").applyInArrow(_block_members(num, den, miss), laid.schema), "members")
+        texts = texts_of(members.select("id").distinct())
+        fresh = members.join(texts, "id").groupBy("bucket", "row", "col").applyInArrow(_block_linker(n_words, num, den, miss), "a long, b long")
+        links = written(links.unionByName(fresh), "links")
+        for x in (members, texts):
             discard(x)
-        if fresh.limit(1).count():
-            links = links.unionByName(fresh)
-            labels = components(links)
-        if not more:
-            break
-        low, high = high, high * 4
-    discard(apart)
+        labels = components(links)
+    discard(open_)
     discard(shared)
     n_labels = labels.count()
     of = reps.select("key", F.col("id").alias("rep")).join(sized(labels.toDF("rep", "label"), n_labels), "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))

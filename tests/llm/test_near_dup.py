@@ -66,11 +66,10 @@ def test_equals_brute_force(spark, n):
     assert sorted((tuple(g) for g in got), key=str) == brute(rows, n)
 
 
-@pytest.mark.parametrize("block,first,large", [(7, 4, 1000), (1024, 1, 5), (16, 1, 2)])
-def test_blocks_of_a_large_bucket(spark, monkeypatch, block, first, large):
+@pytest.mark.parametrize("block,large", [(7, 1000), (1024, 5), (16, 2)])
+def test_blocks_of_a_large_bucket(spark, monkeypatch, block, large):
     """A family whose members are linked through each other but not with its smallest id."""
     monkeypatch.setattr(nd, "BLOCK", block)
-    monkeypatch.setattr(nd, "FIRST_PAIRS", first)
     monkeypatch.setattr(nd, "LARGE", large)
     r = random.Random(3)
     base = [r.choice(VOCAB) for _ in range(100)]
