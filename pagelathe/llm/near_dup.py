@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -272,8 +272,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets that still hold several components
     n_labels = labels.count()
     named = shared.where("m > 2").join(sized(labels.toDF("id", "label"), n_labels), "id", "left").select("bucket", "band", "id", "center", "m", F.coalesce("label", "id").alias("label"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")).where("lo != hi").select("bucket", "main")
-    open_ = written(named.join(split, "bucket"), "open")
+    main = F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")
+    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), main, F.max("m").alias("size"))
+    split = written(split.where("lo != hi").select("bucket", "main", "size"), "split")
+    n_large = split.where(F.col("size") > LARGE).count()
+    if 0 < n_large <= BROADCAST_ROWS:
+        sides = [(named.where(F.col("m") > LARGE), F.broadcast(split.where(F.col("size") > LARGE))), (named.where(F.col("m") <= LARGE), split.where(F.col("size") <= LARGE))]
+    else:
+        sides = [(named, split)]
+    open_ = written(reduce(DataFrame.unionByName, [x.join(y.drop("size"), "bucket") for x, y in sides]), "open")
+    discard(split)
     if open_.limit(1).count():
         n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         own, every = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.explode(F.sequence(F.lit(0), n_blocks - 1))

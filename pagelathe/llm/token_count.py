@@ -13,13 +13,16 @@ contains, so the best path passes such points whatever stands around them. The v
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Where the public tokenizers' files are, and the model whose pieces and scores are used.
+#: Where the public tokenizers' files are, and the model whose pieces and scores are used. It is a BPE model, whose scores
+#: are merge ranks and no log probabilities, for want of a unigram one there: the counts are those of the unigram rules on
+#: its table, not those of its own tokenizer. token_counts() takes any other model or table by its path.
 FOLDER, MODEL = os.environ.get("PAGELATHE_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model"
 SPACE = "▁"
 #: Counts of so many chunks are remembered in a worker; then it begins anew.
@@ -28,7 +31,16 @@ UNKNOWN_PENALTY = 10.0
 
 
 def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
-    """Ordinary pieces with their scores, and whether all 256 bytes are pieces."""
+    """Ordinary pieces with their scores, and whether all 256 bytes are pieces.
+
+    path is a sentencepiece model, or a table of pieces and scores separated by tabs, whose name ends in .vocab or .tsv.
+    """
+    if path.endswith((".vocab", ".tsv")):
+        with open(path, encoding="utf-8") as f:
+            rows = [line.rstrip("\n").rpartition("\t") for line in f if "\t" in line]
+        found = [(piece, float(score)) for piece, _, score in rows if piece and not re.fullmatch(r"<(?:unk|s|/s|pad)>", piece)]
+        plain = [x for x in found if not re.fullmatch("<0x[0-9A-F]{2}>", x[0])]
+        return plain, len(found) - len(plain) == 256
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)

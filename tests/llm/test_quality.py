@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.llm import quality as ql
 from pagelathe.llm.langid import fold
+from pagelathe.llm.words import word_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -67,3 +70,55 @@ def test_odd_rows_and_labels(spark):
     for few, share in ((labels.limit(0), 0.5), (labels.where("quality = 1"), 0.999)):
         got = {round(r.score, 6) for r in ql.scores(odd, ql.learn(docs, few)).collect()}
         assert got == {share}
+
+
+def plain_score(text, model):
+    """Passages, features, attention and score with loops only."""
+    raw = (text or "").encode()
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\t-\r]+", raw)]
+    groups = [words[i : i + ql.PASSAGE] for i in range(0, len(words), ql.PASSAGE)] or [[]]
+    hashes = {w: int(h) for w, h in zip((w for _, _, w in words), (hash_of(w) for _, _, w in words), strict=True)}
+    seen, hidden, energy = set(), [], []
+    classes = {b: k for k, own in enumerate(ql._CLASSES) for b in own}
+    for i, own in enumerate(groups):
+        begin = 0 if i == 0 else own[0][0]
+        end = groups[i + 1][0][0] if i + 1 < len(groups) else len(raw)
+        part = raw[begin:end]
+        x = [0.0] * ql.FEATURES
+        for b in part:
+            x[len(ql._CLASSES) + 1 if b >= 128 else classes.get(b, len(ql._CLASSES))] += 1 / max(len(part), 1)
+        sizes, some, at = [e - s for s, e, _ in own], max(len(own), 1), ql._KINDS
+        mean = sum(sizes) / some
+        distinct = {hashes[w] for _, _, w in own}
+        x[at : at + 7] = [mean / 10, math.sqrt(max(0.0, sum(n * n for n in sizes) / some - mean * mean)) / 10, sum(n <= 3 for n in sizes) / some, math.log1p(len(own)) / 5, len(distinct) / some, len(distinct - seen) / some, math.log1p(len(groups)) / 5]
+        seen |= distinct
+        for _, _, w in own:
+            h = hashes[w]
+            x[at + 7 + h % ql.HASHED] += (1 if h >> 40 & 1 else -1) / math.sqrt(some)
+        z = [(v - c) / s for v, c, s in zip(x, model.center, model.scale, strict=True)]
+        p = model.p
+        h = [math.tanh(sum(z[k] * p["W"][k][j] for k in range(len(z))) + p["b"][j]) for j in range(ql.HIDDEN)]
+        gate = [math.tanh(sum(h[k] * p["V"][k][j] for k in range(ql.HIDDEN))) / (1 + math.exp(-sum(h[k] * p["U"][k][j] for k in range(ql.HIDDEN)))) for j in range(ql.GATES)]
+        hidden.append(h)
+        energy.append(sum(g * w for g, w in zip(gate, p["w"], strict=True)))
+    a = [math.exp(e - max(energy)) for e in energy]
+    z = [sum(w * h[j] for w, h in zip(a, hidden, strict=True)) / sum(a) for j in range(ql.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(v * c for v, c in zip(z, model.p["c"], strict=True)) - model.p["d"][0]))
+
+
+def hash_of(word):
+    return word_hashes(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0][0]
+
+
+def test_equals_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = ql.learn(docs.where(fold() != 2), spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + [None, "", " \n", "One", "Ä | 12\n" * 70, "  lead a b"]
+    got = model.score(pa.array(texts))
+    np.testing.assert_allclose(got, [plain_score(t, model) for t in texts], atol=2e-4)
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 7), (3, None)], "doc_id long, quality int")
+    assert abs(ql.learn(docs, labels).p["d"][0] - np.log(0.999 / 0.001)) < 1e-9

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import os
 import random
 
@@ -65,3 +66,21 @@ def test_frame(spark, real):
     got = tc.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted(((i, expected(t)) for i, t, _ in rows), key=str)
     assert tc.token_counts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_table_of_unigram_scores(spark, tmp_path):
+    """Log probabilities from a .vocab table, with and without bytes: counts are those of the Unigram model on them."""
+    words = ["▁the", "▁of", "▁", "the", "tion", "re", "in", "ing", "e", "t", "h", "i", "n", "g", "o", "f", "r", "s", "▁thing", "thing", "日本", "日"]
+    scores = [(w, math.log((i % 7 + 1) / 60)) for i, w in enumerate(words)]
+    for has_bytes in (False, True):
+        rows = [("<unk>", 0.0), ("<s>", 0.0), *([(f"<0x{b:02X}>", 0.0) for b in range(256)] if has_bytes else []), *scores]
+        path = str(tmp_path / f"model{has_bytes:d}.vocab")
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("".join(f"{p}\t{s!r}\n" for p, s in rows))
+        pieces, found = tc.vocabulary(path)
+        assert pieces == scores and found == has_bytes
+        some = ["the thing of the tions", "rethinging", "日本語 xyz", "", None, *texts(3, "thingofres 日x")]
+        expected = reference(scores, has_bytes)
+        df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+        got = {r.doc_id: r.n_tokens for r in tc.token_counts(df, path=path).collect()}
+        assert [got[i] for i in range(len(some))] == [expected(t or "") for t in some]
