@@ -16,6 +16,8 @@ def session(app: str = "pagelathe", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        # the call site of every column costs more than building the column
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
