@@ -272,11 +272,12 @@ def win_streak(spark, d):
 
 @query("win_rr", f"WITH {_L}, n AS (SELECT event_id, domain, (row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) - 1) % 10 AS i FROM f), p AS (SELECT proxy_id, row_number() OVER (ORDER BY proxy_id) - 1 AS i FROM (SELECT DISTINCT proxy_id FROM f)) SELECT event_id, proxy_id FROM n JOIN p USING (i)")
 def win_rr(spark, d):
-    """Round robin over ten ids in a domain's order of events."""
+    """Round robin over the pool's ids, in their order, along a domain's events. The pool is one row, as in a rotator."""
     log = T.fetch_log(spark, d)
-    ids = [f"p{i}" for i in range(10)]
+    pool = log.agg(F.array_sort(F.collect_set("proxy_id")).alias("ids"))
     nth = F.row_number().over(Window.partitionBy("domain").orderBy("ts", "event_id")) - 1
-    return log.select("event_id", F.element_at(F.array(*map(F.lit, ids)), (F.pmod(nth, F.lit(len(ids))) + 1).cast("int")).alias("proxy_id"))
+    turns = log.select("event_id", nth.alias("nth")).join(F.broadcast(pool))
+    return turns.select("event_id", F.element_at("ids", (F.pmod("nth", F.size("ids")) + 1).cast("int")).alias("proxy_id"))
 
 
 _ATT = f"{_L}, a AS (SELECT user_id AS request, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt, engine, status_code, challenge_type FROM f)"
