@@ -19,6 +19,9 @@ _WHERE = {
     "op8_quality": "quality",
     "op9_token_count": "token_count",
     "op10_bm25": "bm25",
+    "op11_spelling": "spelling",
+    "op12_transport_stream": "transport_stream",
+    "op13_divergence": "divergence",
 }
 
 
