@@ -233,6 +233,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     resident = seated.repartition(parts, *cell).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        resident.count()  # once it is there, its partitioning is known and no round shuffles it
         met = [written(resident.groupBy(*cell).applyInArrow(lambda key, rows: _meet(_plain(key), Vectors(rows), None, top), _MET), "met")]
         rounds = seated.agg(F.max("rounds")).first()[0] or 0
         for nth in range(rounds):

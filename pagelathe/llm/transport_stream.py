@@ -139,7 +139,7 @@ class _Elementary:
     def __init__(self, pid: int):
         self.pid, self.parts, self.at, self.units = pid, [], 0, []
         self.open: list[bytes] | None = None
-        self.packet = self.random = self.last = 0
+        self.packet, self.random, self.last = 0, False, None
         self.whole = True
 
     def begin(self, payload: bytes, packet: int, random: bool) -> None:
@@ -148,8 +148,9 @@ class _Elementary:
 
     def time(self, b: bytes) -> int:
         t = (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1
-        t += (self.last - t + WRAP // 2) // WRAP * WRAP
-        self.last = t = max(t, 0)
+        if self.last is not None:
+            t += (self.last - t + WRAP // 2) // WRAP * WRAP
+        self.last = t
         return t
 
     def close(self) -> None:
@@ -170,7 +171,7 @@ class _Elementary:
                 if pes[7] & 0x40 and pes[8] >= 10 and len(pes) >= 19:
                     dts = self.time(pes[14:19])
         data = pes[begin:end]
-        self.units.append(Unit(self.pid, pts, dts, self.at, len(data), self.packet, bool(self.random), self.whole and len(pes) >= end))
+        self.units.append(Unit(self.pid, pts, dts, self.at, len(data), self.packet, self.random, self.whole and len(pes) >= end))
         self.parts.append(data)
         self.at += len(data)
 
