@@ -9,11 +9,13 @@
    P(Bin(n + 1, threshold) <= m). A pair goes when that falls below the chosen miss probability.
 4. Survivors are verified on the full shingle sets of the whole texts.
 5. Links give components. Buckets of three or more whose members still lie in different components are compared across
-   components: members outside the component of the bucket's center against all members, in a grid of blocks. Blocks first
-   carry signatures only, and give back the members that have a plausible partner in another component; a pair counts only
-   in the first band where it agrees. Texts are fetched for those members alone, and their pairs verified on the full sets,
-   likeliest first; a link is returned for each pair of components that it joins, and once joined, further pairs between
-   them need no check. Nothing is capped, and no pair is emitted that isn't a link.
+   components: members outside the component of the bucket's center against all members, in a grid of blocks of the former
+   by blocks of the latter, so m members of which k lie outside take about m * k / BLOCK rows twice and no square of m. Blocks
+   first carry signatures only, and give back the members that have a plausible partner in another component; a pair counts
+   only in the first band where it agrees. Texts are fetched for those members alone, in parts of at most PART_SHINGLES on
+   each side (or one text), and their pairs verified on the full sets, likeliest first; a link is returned for each pair of
+   components that it joins, and once joined, further pairs between them need no check. Nothing is capped, and no pair is
+   emitted that isn't a link.
 
 Sets are of 64-bit hashes of shingles, so "exact" is up to a collision of two shingles in one pair of texts.
 """
@@ -41,6 +43,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Members of an unresolved bucket on each side of a block of comparisons.
 BLOCK = 1024
+#: Shingles of the texts on each side of a part of a block in which texts are compared; a longer text is a side of its own.
+PART_SHINGLES = 2_000_000
 #: Buckets with more members than this get their center by a broadcast.
 LARGE = 1000
 _rng = np.random.default_rng(7)
@@ -141,21 +145,20 @@ def _verifier(n_words: int, num: int, den: int):
 
 
 def _block_pairs(block: pa.Table, num: int, den: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Plausible pairs across components in a block of a bucket, with the hashes that agree: columns own, id, label, main,
+    """Plausible pairs across components in a block of a bucket, with the hashes that agree: columns asks, id, label, main,
     center, band, sig.
 
-    Members of one block are compared with those of the other (with each other where both are the same block) if at
-    least one lies outside the component of the bucket's center.
+    Those that ask lie outside the component of the bucket's center, and are compared with those that don't ask: members of
+    all components.
     """
     sig = _matrix(block.column("sig"))
-    ids, labels, main, center, own = (block.column(c).to_numpy() for c in ("id", "label", "main", "center", "own"))
+    ids, labels, main, center, asks = (block.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "main", "center", "asks"))
     band = block.column("band")[0].as_py()
     minor = labels != main
-    same = own.min() == own.max()
     left, right, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in np.flatnonzero(minor):
-        # the center has been compared with all; of two minor members only the smaller id asks
-        other = np.flatnonzero((labels != labels[i]) & (ids != center) & (same | (own != own[i])) & (~minor | (ids > ids[i])))
+    for i in np.flatnonzero(asks):
+        # the center has been compared with all; of two members that both ask only the smaller id does
+        other = np.flatnonzero(~asks & (labels != labels[i]) & (ids != center) & (~minor | (ids > ids[i])))
         agree = np.zeros(len(other), dtype=np.int64)
         for at in range(0, HASHES, BATCH):
             if not len(other):
@@ -174,19 +177,39 @@ def _block_pairs(block: pa.Table, num: int, den: int, miss: float) -> tuple[np.n
     return np.concatenate(left), np.concatenate(right), np.concatenate(score)
 
 
+def _parts(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row the part of its side that it falls into: runs of the distinct rows with at most PART_SHINGLES together."""
+    own = np.unique(rows)
+    part, total, parts = 0, 0, np.zeros(len(own), np.int64)
+    for k, n in enumerate(sizes[own].tolist()):
+        if total and total + n > PART_SHINGLES:
+            part, total = part + 1, 0
+        total += n
+        parts[k] = part
+    return parts[np.searchsorted(own, rows)]
+
+
 def _block_members(num: int, den: int, miss: float):
-    """The rows of a block that stand in a plausible pair."""
+    """The rows of a block that stand in a plausible pair, in each part of the block that has pairs of theirs."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         left, right, _ = _block_pairs(block, num, den, miss)
-        return block.take(pa.array(np.unique(np.concatenate((left, right)))))
+        sizes = block.column("n_shingles").to_numpy()
+        p, q = _parts(left, sizes), _parts(right, sizes)
+        rows, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in np.unique(p * (1 << 31) + q):
+            own = p * (1 << 31) + q == part
+            found = np.unique(np.concatenate((left[own], right[own])))
+            rows.append(found)
+            parts.append(np.full(len(found), part))
+        return block.take(pa.array(np.concatenate(rows))).append_column("part", pa.array(np.concatenate(parts), pa.int64()))
 
     return run
 
 
 def _block_linker(n_words: int, num: int, den: int, miss: float):
-    """Links that join components within a block, given its rows of _block_members with their texts."""
+    """Links that join components within a part of a block, given its rows of _block_members with their texts."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
@@ -217,6 +240,17 @@ def _block_linker(n_words: int, num: int, den: int, miss: float):
     return run
 
 
+def _grid(open_: DataFrame) -> DataFrame:
+    """The members of open buckets (m of them, k outside the center's component) in the cells of a grid: those outside as such
+    that ask, in one row of cells, and all as such that are asked, in one column."""
+    rows, cols = F.ceil(F.col("k") / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
+    place = F.xxhash64("id")
+    members = open_.select("bucket", "band", "id", "center", "label", "main", rows.alias("rows"), cols.alias("cols"))
+    asking = members.where("label != main").withColumns({"asks": F.lit(True), "row": F.pmod(place, "rows").cast("int"), "col": F.explode(F.sequence(F.lit(0), F.col("cols") - 1))})
+    asked = members.withColumns({"asks": F.lit(False), "row": F.explode(F.sequence(F.lit(0), F.col("rows") - 1)), "col": F.pmod(place, "cols").cast("int")})
+    return asking.unionByName(asked).drop("rows", "cols")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, num: int = 80, den: int = 100, miss: float = MISS) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept. Two texts are linked when den * |A & B| >= num * |A | B|.
 
@@ -229,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = written(rows.mapInArrow(_sketcher(n_words), "id long, n_shingles long, key binary, sig binary"), "sketch")
     usable = sketch.where("key IS NOT NULL AND id IS NOT NULL")
-    reps = written(usable.groupBy("key").agg(F.min(F.struct("id", "sig")).alias("r")).select("key", "r.id", "r.sig"), "reps")
+    reps = written(usable.groupBy("key").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("r")).select("key", "r.id", "r.sig", "r.n_shingles"), "reps")
     n_reps = reps.count()
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
     bands = reps.select("id", bands.alias("band", "bucket"))
@@ -272,9 +306,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets that still hold several components
     n_labels = labels.count()
     named = shared.where("m > 2").join(sized(labels.toDF("id", "label"), n_labels), "id", "left").select("bucket", "band", "id", "center", "m", F.coalesce("label", "id").alias("label"))
-    main = F.max(F.when(F.col("id") == F.col("center"), F.col("label"))).alias("main")
-    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), main, F.max("m").alias("size"))
-    split = written(split.where("lo != hi").select("bucket", "main", "size"), "split")
+    by_label = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.bool_or(F.col("id") == F.col("center")).alias("is_main"), F.max("m").alias("m"))
+    main = F.max(F.when(F.col("is_main"), F.col("label"))).alias("main")
+    split = by_label.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), main, F.max("m").alias("size"), F.sum(F.when(F.col("is_main"), 0).otherwise(F.col("n"))).alias("k"))
+    split = written(split.where("lo != hi").select("bucket", "main", "size", "k"), "split")
     n_large = split.where(F.col("size") > LARGE).count()
     if 0 < n_large <= BROADCAST_ROWS:
         sides = [(named.where(F.col("m") > LARGE), F.broadcast(split.where(F.col("size") > LARGE))), (named.where(F.col("m") <= LARGE), split.where(F.col("size") <= LARGE))]
@@ -283,14 +318,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = written(reduce(DataFrame.unionByName, [x.join(y.drop("size"), "bucket") for x, y in sides]), "open")
     discard(split)
     if open_.limit(1).count():
-        n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        own, every = F.pmod(F.xxhash64("id"), n_blocks).cast("int"), F.explode(F.sequence(F.lit(0), n_blocks - 1))
-        pairs = open_.select("bucket", "band", "id", "center", "label", "main", own.alias("own"), every.alias("other"))
-        pairs = pairs.withColumns({"row": F.least("own", "other"), "col": F.greatest("own", "other")}).drop("other")
-        laid = pairs.join(reps.select("id", "sig"), "id")
-        members = written(laid.groupBy("bucket", "row", "col").applyInArrow(_block_members(num, den, miss), laid.schema), "members")
+        laid = _grid(open_).join(reps.select("id", "sig", "n_shingles"), "id")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in laid.schema.fields) + ", part long"
+        members = written(laid.groupBy("bucket", "row", "col").applyInArrow(_block_members(num, den, miss), schema), "members")
         texts = texts_of(members.select("id").distinct())
-        fresh = members.join(texts, "id").groupBy("bucket", "row", "col").applyInArrow(_block_linker(n_words, num, den, miss), "a long, b long")
+        fresh = members.join(texts, "id").groupBy("bucket", "row", "col", "part").applyInArrow(_block_linker(n_words, num, den, miss), "a long, b long")
         links = written(links.unionByName(fresh), "links")
         for x in (members, texts):
             discard(x)

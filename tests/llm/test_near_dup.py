@@ -166,3 +166,69 @@ def test_recall_on_documents(spark):
     want = {i: min(own) for own in place.values() for i in own}
     got = {r.doc_id: r.component_id for r in nd.op2_near_dup(spark, "/root/testdata/sf0.01").collect()}
     assert len(pairs) > 100 and got == want
+
+
+def test_grid_is_linear_in_a_bucket(spark):
+    """A bucket of 5,000 members of which three lie outside the center's component takes 5,000 rows and 5 for each of the three;
+    each of the three meets every member in one cell."""
+    rows = [(7, 3, i, 0, 5000, i if i in (11, 12, 13) else 0, 0, 3) for i in range(5000)]
+    open_ = spark.createDataFrame(rows, "bucket long, band int, id long, center long, m long, label long, main long, k long")
+    laid = nd._grid(open_).collect()
+    assert len(laid) == 5000 + 3 * 5
+    cells = {}
+    for x in laid:
+        cells.setdefault((x.row, x.col), ([], []))[0 if x.asks else 1].append(x.id)
+    met = [(a, b) for asks, asked in cells.values() for a in asks for b in asked]
+    assert len(met) == len(set(met)) == 3 * 5000 and max(len(b) for _, b in cells.values()) <= 1200
+
+
+def test_parts_are_bounded(monkeypatch):
+    monkeypatch.setattr(nd, "PART_SHINGLES", 10)
+    sizes = np.array([4, 4, 4, 30, 1, 9, 2])
+    assert nd._parts(np.array([0, 1, 2, 3, 4, 5, 6, 0, 3]), sizes).tolist() == [0, 0, 1, 2, 3, 3, 4, 0, 2]
+
+
+@pytest.mark.parametrize("size", [1, 40, 10**6])
+def test_texts_in_parts_give_the_same(spark, monkeypatch, size):
+    """Whatever the bound on the texts of a part, components are those of brute force."""
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "PART_SHINGLES", size)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(r.randrange(0, 7)):
+            t[r.randrange(40)] = f"x{r.randrange(12)}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in nd.near_duplicates(df, n_words=2).collect()}
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(39)} for t in texts]
+    want = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want)) and 1 < len(set(want)) < 60
+
+
+def test_long_texts_are_hashed_in_windows(monkeypatch):
+    """A text's words have the same hashes in windows as together; a text of 20 MB takes few times its size."""
+    import tracemalloc
+
+    from pagelathe.llm import words
+
+    r = random.Random(1)
+    text = "".join(r.choice(["wörd ", "x", "\t\n", "ABC ", "long" * 30 + " "]) for _ in range(3000))
+    texts = pa.array([text, "a b", "", text[:500]])
+    want = [s.tolist() for s in shingle_sets(texts, 2)]
+    monkeypatch.setattr(words, "BLOCK_BYTES", 64)
+    assert [s.tolist() for s in shingle_sets(texts, 2)] == want
+    monkeypatch.undo()
+    long = pa.array(["some words " * 1_900_000])
+    tracemalloc.start()
+    assert len(next(shingle_sets(long, 2))) == 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * 21e6
