@@ -42,15 +42,19 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Deletes what written() has stored for df; only for tables that no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
+def discard_path(spark: SparkSession, path: str | None) -> None:
+    """Deletes a folder that new_path() has named."""
     if path:
-        spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(df: DataFrame | None) -> None:
+    """Deletes what written() has stored for df; only for tables that no later plan reads."""
+    if df is not None:
+        discard_path(df.sparkSession, getattr(df, "_scratch_path", None))
+
+
 def sized(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """df for the small side of a join: broadcast while its counted rows stay within most, else left to the planner."""
     return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
