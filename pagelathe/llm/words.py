@@ -79,15 +79,45 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _windows(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of about BLOCK_BYTES, cut where a word ends."""
+    at = 0
+    while at < len(data):
+        to = at + BLOCK_BYTES
+        while to < len(data):
+            space = _SPACE[data[to : to + 4096]]
+            if space.any():
+                to += int(space.argmax())
+                break
+            to += 4096
+        yield data[at:to]
+        at = to
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_LETTER[data] * up[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of a block, and the index of each text's first word."""
+    """A 64-bit hash for each word of a block, and the index of each text's first word.
+
+    A text of more than BLOCK_BYTES, which is a block of its own, is hashed in windows: a word's hash doesn't depend on where
+    it stands, so its memory is that of its hashes, not of tables as long as itself.
+    """
+    if len(data) > BLOCK_BYTES:
+        found = [np.zeros(0, np.uint64)]
+        for window in _windows(data):
+            starts, ends, _ = spans(window, np.array([0, len(window)]))
+            found.append(_hashes(window, starts, ends) if len(starts) else found[0])
+        h = np.concatenate(found)
+        return h, np.where(offsets < len(data), 0, len(h))
     starts, ends, index = spans(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), index
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_LETTER[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), index
+    return _hashes(data, starts, ends), index
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:

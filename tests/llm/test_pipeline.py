@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from test_langid import plain_verdict
-from pagelathe.llm import langid, mixing, packing
+from test_mixing import plain_mix
+from pagelathe.llm import langid, mixing, packing, topics, words
 from pagelathe.llm.registry import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +44,15 @@ def brute_near(rows):
     return {i for i in sets if find(i) == i}
 
 
+def plain_topic(text, model):
+    x = np.zeros(topics.HASHED)
+    data = (text or "").encode()
+    for h in words.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist():
+        x[h % topics.HASHED] += 1
+    scores = [float((np.log1p(x) * model.idf) @ c) for c in model.centers]
+    return f"topic-{int(np.argmax(scores)):02d}" if x.any() else topics.NO_TOPIC
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     real = spark.read.parquet(f"{SF}/documents.parquet")
@@ -60,7 +71,11 @@ def test_stages_against_brute_force(spark, docs):
     three = cp.near_dedup(spark, two, SF)
     assert three.columns == docs.columns and {r.doc_id for r in three.collect()} == brute_near(two.collect())
     four = cp.mix_sources(spark, three, SF)
-    drawn = {r.doc_id for r in mixing.mix(three).collect() if r.sampled}
+    # words counted, raked and drawn in plain Python; the topic of a text by a loop over its words
+    model, kept = topics.learn(three), three.collect()
+    rows = [(r.doc_id, len((r.text or "").encode().split()), (r.source or mixing.NONE, r.lang or mixing.NONE, plain_topic(r.text, model))) for r in kept]
+    hashes = {r[0]: r[1] for r in three.select("doc_id", F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(1 << 40)) / float(1 << 40)).collect()}
+    drawn = {row[0] for row, p in zip(rows, plain_mix(rows, mixing.RATE), strict=True) if hashes[row[0]] < p}
     assert four.columns == docs.columns and {r.doc_id for r in four.collect()} == drawn and 0.5 * three.count() < len(drawn) < three.count()
     five = cp.pack_batches(spark, four, SF).collect()
     words = {r.doc_id: len((r.text or "").encode().split()) for r in four.collect()}
@@ -77,7 +92,7 @@ def test_run_and_names(spark):
     for _, stage in cp.STAGES:
         by_hand = stage(spark, by_hand, SF)
     assert sorted(map(str, cp.run(spark, SF).collect())) == sorted(map(str, by_hand.collect()))
-    assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11)) and set(oracle_sql()) == {"op3_exact_dup", "op7_warc"}
+    assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 14)) and set(oracle_sql()) == {"op3_exact_dup", "op7_warc", "op11_spelling", "op13_divergence"}
 
 
 @pytest.mark.parametrize("k", range(5))
