@@ -9,6 +9,8 @@ from pagelathe.functions import extraction as X
 from pagelathe.functions import responses as R
 from pagelathe.functions import urls as U
 from pagelathe.operators import aggregates as A
+from pagelathe.operators import scans
+from pagelathe.operators.alerts import RULES as ALERTS
 from pagelathe.plans.registry import query
 from pagelathe.plans.response_queries import BLOCKED, REWARD
 from pagelathe.plans.url_queries import segments
@@ -230,12 +232,57 @@ def agg_batch(spark, d):
     return T.urls(spark, d).groupBy(F.regexp_extract("id", "^[a-z]+", 0).alias("batch")).agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("skipped"), F.min(F.when(good, F.col("id"))).alias("first_id"))
 
 
-@query("alert_rules", f"WITH {_L}, m AS (SELECT domain, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) FILTER (status_code >= 400) / count(*) AS r FROM f GROUP BY 1, 2), b AS (SELECT domain, hour, hour - row_number() OVER (PARTITION BY domain ORDER BY hour) AS g FROM m WHERE r > 0.3) SELECT domain, min(hour) AS start, count(*) AS length FROM b GROUP BY domain, g HAVING count(*) >= 3")
+_MINUTE = "epoch_us(ts) // 60000000"
+_GAUGES = f"""ban AS (SELECT 'HighBanScore' AS rule, domain AS label, m * 60000000 AS t, least(1.0, greatest(0.0, 0.4::DOUBLE * blocked + 0.4::DOUBLE * captcha + 0.2::DOUBLE * (failed * 0.5::DOUBLE))) AS v
+  FROM (SELECT domain, {_MINUTE} AS m, count(*) FILTER (o = 'blocked') / count(*) AS blocked, count(*) FILTER (o = 'captcha') / count(*) AS captcha, count(*) FILTER (o = 'failed') / count(*) AS failed FROM (SELECT *, {_OUT} AS o FROM f) GROUP BY 1, 2)),
+gauges AS (SELECT * FROM ban UNION ALL SELECT 'DomainBlocked', label, t, v FROM ban
+  UNION ALL SELECT 'ProxyPoolLow', 'all', {_MINUTE} * 60000000, count(DISTINCT proxy_id) FROM f GROUP BY {_MINUTE}
+  UNION ALL SELECT 'NoWorkers', 'all', {_MINUTE} * 60000000, count(DISTINCT engine) FILTER (status_code BETWEEN 200 AND 299) FROM f GROUP BY {_MINUTE}
+  UNION ALL SELECT 'KafkaQueueBacklog', engine, epoch_us(ts), latency_ms FROM f),
+last AS (SELECT rule, label, step, arg_max(v, (t, v)) AS v FROM (SELECT *, unnest(range((t + 59999999) // 60000000, (t + 59999999) // 60000000 + 5)) AS step FROM gauges) GROUP BY ALL)"""
+_COUNTERS = """counters AS (SELECT engine, CASE WHEN status_code >= 400 THEN 'failed' ELSE 'done' END AS status, epoch_us(ts) AS t, row_number() OVER (PARTITION BY status_code >= 400, epoch_us(ts) // 86400000000 ORDER BY ts, event_id) AS v FROM f),
+deltas AS (SELECT *, CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END AS d FROM (SELECT *, lag(v) OVER (PARTITION BY status ORDER BY t, v) AS p FROM counters)),
+ranges AS (SELECT status, step, count(*) AS n, CAST(sum(d) - arg_min(d, (t, v)) AS DOUBLE) AS up, arg_min(v, (t, v)) AS v, (max(t) - min(t)) / 1e6 AS span, min(t) / 1e6 - (step * 60 - 300) AS lead, step * 60 - max(t) / 1e6 AS tail
+  FROM (SELECT *, unnest(range((t + 59999999) // 60000000, (t + 59999999) // 60000000 + 5)) AS step FROM deltas) GROUP BY status, step HAVING count(*) > 1 AND max(t) > min(t)),
+rates AS (SELECT status, step, up * ((span + least(CASE WHEN lead >= span / (n - 1) * 1.1::DOUBLE THEN span / (n - 1) / 2 ELSE lead END, CASE WHEN up > 0 THEN span * v / up END) + CASE WHEN tail >= span / (n - 1) * 1.1::DOUBLE THEN span / (n - 1) / 2 ELSE tail END) / span) / 300 AS r FROM ranges),
+ratio AS (SELECT 'HighFailureRate' AS rule, 'all' AS label, step, sum(r) FILTER (status = 'failed') / sum(r) AS v FROM rates GROUP BY step HAVING sum(r) > 0 AND count(*) FILTER (status = 'failed') > 0)"""
+_LIMITS = ", ".join(f"('{name}', '{op}', {limit}::DOUBLE, {minutes})" for name, op, limit, minutes in ALERTS)
+
+
+@query(
+    "alert_rules",
+    f"""WITH {_L}, {_GAUGES}, {_COUNTERS}, rules(rule, op, lim, hold) AS (VALUES {_LIMITS}),
+broken AS (SELECT *, step - row_number() OVER (PARTITION BY rule, label ORDER BY step) AS island FROM (SELECT * FROM last UNION ALL SELECT * FROM ratio) JOIN rules USING (rule) WHERE CASE op WHEN '>' THEN v > lim WHEN '<' THEN v < lim ELSE v = lim END)
+SELECT rule, label, min(step) AS since, min(step) + any_value(hold) AS fires, max(step) AS until, round(CASE WHEN any_value(op) = '<' THEN min(v) ELSE max(v) END, 6) AS peak FROM broken GROUP BY rule, label, island HAVING max(step) - min(step) >= any_value(hold)""",
+)
 def alert_rules(spark, d):
-    """Spans of at least three consecutive hours in which more than 0.3 of a domain's fetches fail."""
-    from pagelathe.operators.alerts import failure_alerts
+    """All six rules over metrics scraped from the log, at one-minute steps: ban scores of domains by minute, proxies and
+    workers in use, queue depths, and the failed tasks' share of the rates of counters that restart every midnight."""
+    from pagelathe.operators import alerts, folds
 
-    return failure_alerts(T.fetch_log(spark, d), seconds=3600, share=0.3, hold=3)
+    log = T.fetch_log(spark, d)
+    minute = F.floor(F.unix_micros("ts") / 60_000_000)
+    sample = lambda df, label, value: df.select(label.alias("label"), F.timestamp_seconds(F.col("bucket") * 60).alias("ts"), value.cast("double").alias("value"))
+    bans = folds.buckets(log, 60)
+    bans = alerts.last_value(sample(bans, F.col("domain"), folds.raw_ban(F.col("blocked"), F.col("captcha"), F.col("failed"))))
+    used = log.groupBy(minute.alias("bucket")).agg(F.count_distinct("proxy_id").alias("pool"), F.count_distinct(F.when(R.is_success(F.col("status_code")), F.col("engine"))).alias("workers"))
+    depths = log.select(F.col("engine").alias("label"), "ts", F.col("latency_ms").alias("value"))
+    failed = F.col("status_code") >= 400
+    since_start = Window.partitionBy(failed, F.floor(F.unix_micros("ts") / 86_400_000_000)).orderBy("ts", "event_id")
+    counters = log.select(F.when(failed, "failed").otherwise("done").alias("series"), F.lit("all").alias("label"), "ts", F.row_number().over(since_start).cast("double").alias("value"))
+    values = {
+        "HighBanScore": bans,
+        "DomainBlocked": bans,
+        "ProxyPoolLow": alerts.last_value(sample(used, F.lit("all"), F.col("pool"))),
+        "NoWorkers": alerts.last_value(sample(used, F.lit("all"), F.col("workers"))),
+        "KafkaQueueBacklog": alerts.last_value(depths),
+        "HighFailureRate": alerts.failure_ratio(alerts.rate(counters), "failed"),
+    }
+    out = None
+    for rule, found in values.items():
+        spans = alerts.firing(found, rule)
+        out = spans if out is None else out.unionByName(spans)
+    return _rounded(out, "peak")
 
 
 @query("danger_domains", f"WITH {_L}, g AS (SELECT domain, round(avg(CASE WHEN {BLOCKED} THEN 1.0::DOUBLE ELSE 0 END), 6) AS score FROM f GROUP BY domain) SELECT domain, score FROM g WHERE score >= 0.2")
@@ -248,26 +295,22 @@ def danger_domains(spark, d):
 @query("win_rate", f"WITH {_L} SELECT event_id, count(*) OVER (PARTITION BY domain ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS n FROM f")
 def win_rate(spark, d):
     """Arrivals of a domain in the hour before an event."""
-    w = Window.partitionBy("domain").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, -1)
-    return T.fetch_log(spark, d).select("event_id", F.count("*").over(w).alias("n"))
+    return scans.arrivals(T.fetch_log(spark, d).select("event_id", "domain", "ts"), "domain", "ts", 3600).select("event_id", "n")
 
 
 @query("win_gap", f"WITH {_L} SELECT event_id, greatest(0, 3600000 - (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY domain ORDER BY ts, event_id)) // 1000) AS wait_ms FROM f")
 def win_gap(spark, d):
     """How long to wait until an hour has passed since the domain's previous request."""
-    w = Window.partitionBy("domain").orderBy("ts", "event_id")
-    gap = F.floor((F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1000)
-    return T.fetch_log(spark, d).select("event_id", F.when(gap.isNotNull(), F.greatest(F.lit(0), 3_600_000 - gap)).otherwise(F.lit(0)).cast("long").alias("wait_ms"))
+    log = scans.scan(T.fetch_log(spark, d).select("event_id", "domain", "ts"), "domain", "ts", ["event_id"], last=F.unix_micros("ts"))
+    gap = F.floor((F.unix_micros("ts") - F.col("last")) / 1000)
+    return log.select("event_id", F.when(gap.isNotNull(), F.greatest(F.lit(0), 3_600_000 - gap)).otherwise(F.lit(0)).cast("long").alias("wait_ms"))
 
 
 @query("win_streak", f"WITH {_L}, g AS (SELECT *, sum(CASE WHEN status_code < 400 THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY ts, event_id) AS island FROM f) SELECT event_id, CASE WHEN status_code < 400 THEN 0 ELSE row_number() OVER (PARTITION BY domain, island ORDER BY ts, event_id) - CASE WHEN island > 0 THEN 1 ELSE 0 END END AS streak FROM g")
 def win_streak(spark, d):
     """Consecutive failures up to each event."""
-    w = Window.partitionBy("domain").orderBy("ts", "event_id")
-    ok = F.col("status_code") < 400
-    g = T.fetch_log(spark, d).withColumn("island", F.sum(F.when(ok, 1).otherwise(0)).over(w))
-    nth = F.row_number().over(Window.partitionBy("domain", "island").orderBy("ts", "event_id"))
-    return g.select("event_id", F.when(ok, 0).otherwise(nth - F.when(F.col("island") > 0, 1).otherwise(0)).cast("long").alias("streak"))
+    log = T.fetch_log(spark, d).select("event_id", "domain", "ts", "status_code")
+    return scans.streak(log, "domain", "ts", ["event_id"], F.col("status_code") < 400).select("event_id", "streak")
 
 
 @query("win_rr", f"WITH {_L}, n AS (SELECT event_id, domain, (row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) - 1) % 10 AS i FROM f), p AS (SELECT proxy_id, row_number() OVER (ORDER BY proxy_id) - 1 AS i FROM (SELECT DISTINCT proxy_id FROM f)) SELECT event_id, proxy_id FROM n JOIN p USING (i)")
@@ -275,9 +318,8 @@ def win_rr(spark, d):
     """Round robin over the pool's ids, in their order, along a domain's events. The pool is one row, as in a rotator."""
     log = T.fetch_log(spark, d)
     pool = log.agg(F.array_sort(F.collect_set("proxy_id")).alias("ids"))
-    nth = F.row_number().over(Window.partitionBy("domain").orderBy("ts", "event_id")) - 1
-    turns = log.select("event_id", nth.alias("nth")).join(F.broadcast(pool))
-    return turns.select("event_id", F.element_at("ids", (F.pmod("nth", F.size("ids")) + 1).cast("int")).alias("proxy_id"))
+    turns = scans.scan(log.select("event_id", "domain", "ts"), "domain", "ts", ["event_id"], nth="nth").join(F.broadcast(pool))
+    return turns.select("event_id", F.element_at("ids", (F.pmod(F.col("nth") - 1, F.size("ids")) + 1).cast("int")).alias("proxy_id"))
 
 
 _ATT = f"{_L}, a AS (SELECT user_id AS request, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS attempt, engine, status_code, challenge_type FROM f)"

@@ -190,11 +190,11 @@ def st_offload(spark, d):
 @query("st_dns", f"WITH {_L}, m AS (SELECT q.event_id, max(p.ts) AS seen, arg_max(p.latency_ms < 10000, (p.ts, p.event_id)) AS up, any_value(q.ts) AS ts FROM f q LEFT JOIN f p ON p.domain = q.domain AND (p.ts, p.event_id) < (q.ts, q.event_id) AND p.ts > q.ts - INTERVAL 6 HOUR GROUP BY q.event_id) SELECT event_id, up, coalesce(ts - seen > INTERVAL 5 HOUR, true) AS refresh FROM m")
 def st_dns(spark, d):
     """The last probe of a domain no older than six hours, and whether a new one is due. Every event is a lookup, and a
-    probe for the events after it by time and id; so the last probe is the row before, found by one window."""
-    from pyspark.sql import Window
+    probe for the events after it by time and id; so the last probe is the row before, found by one scan."""
+    from pagelathe.operators.scans import scan
 
-    w = Window.partitionBy("domain").orderBy("ts", "event_id")
-    f = T.fetch_log(spark, d).select("event_id", "ts", F.lag(F.struct("ts", (F.col("latency_ms") < 10000).alias("up"))).over(w).alias("probe"))
+    log = T.fetch_log(spark, d).select("event_id", "domain", "ts", (F.col("latency_ms") < 10000).alias("fast"))
+    f = scan(log, "domain", "ts", ["event_id"], probe=F.struct("ts", F.col("fast").alias("up")))
     age = F.unix_micros("ts") - F.unix_micros("probe.ts")
     return f.select("event_id", F.when(age < 6 * 3600 * 10**6, F.col("probe.up")).alias("up"), F.coalesce(age > 5 * 3600 * 10**6, F.lit(True)).alias("refresh"))
 
