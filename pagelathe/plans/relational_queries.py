@@ -11,6 +11,7 @@ from pagelathe.operators import tables as O
 from pagelathe.plans.registry import query
 from pagelathe.sources import blobs, messages
 from pagelathe.sources import tables as T
+from pagelathe.sources.keyed import KeyedTable
 from pagelathe.streaming.sources import shared_dir
 
 
@@ -114,12 +115,10 @@ def jn_cache(spark, d):
 @query("jn_engine", f"WITH f AS ({T.FETCH_LOG}), c AS (SELECT * FROM f WHERE status_code = 200), m AS (SELECT f.event_id, arg_max(c.engine, c.event_id) AS engine FROM f LEFT JOIN c ON c.user_id = f.user_id AND c.event_id < f.event_id AND c.ts > f.ts - INTERVAL 10 HOUR GROUP BY f.event_id) SELECT event_id, array_to_string(list_prepend(engine, list_filter(['http', 'playwright', 'lightpanda', 'nodriver'], lambda e: e <> coalesce(engine, ''))), ',') AS engines FROM m")
 def jn_engine(spark, d):
     """Engines in order, the one that last succeeded for the same key first."""
-    from pyspark.sql import Window
+    from pagelathe.operators.scans import scan
 
-    f = T.fetch_log(spark, d)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("status_code") == 200, F.struct("engine", "ts")), ignorenulls=True).over(w)
-    f = f.select("event_id", "ts", last.alias("x"))
+    log = T.fetch_log(spark, d).select("event_id", "user_id", "ts", "engine", "status_code")
+    f = scan(log, "user_id", "ts", ["event_id"], x=F.when(F.col("status_code") == 200, F.struct("engine", "ts")))
     near = F.unix_micros("ts") - F.unix_micros("x.ts") < 36_000_000_000
     default = F.array(*map(F.lit, ["http", "playwright", "lightpanda", "nodriver"]))
     order = F.when(near, F.array_union(F.array("x.engine"), default)).otherwise(default)
@@ -142,24 +141,36 @@ def src_geo(spark, d):
     return s.select("s_suppkey", F.coalesce(F.try_element_at(zones, "n_name"), F.lit("UTC")).alias("zone"))
 
 
+def _keyed(spark, df, key: str) -> KeyedTable:
+    return KeyedTable.create(df, f"{shared_dir(spark)}/pagelathe/table-{uuid.uuid4().hex}", key, buckets=8)
+
+
 @query("snk_update", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS o_orderstatus, o_orderstatus = 'P' AS changed FROM orders")
 def snk_update(spark, d):
+    """A stored table after its pending rows have been set."""
     o = _orders(spark, d).select("o_orderkey", "o_orderstatus", (F.col("o_orderstatus") == "P").alias("changed"))
-    return O.update_where(o, F.col("o_orderstatus") == "P", {"o_orderstatus": F.lit("O")})
+    stored = _keyed(spark, o, "o_orderkey")
+    stored.update(F.col("o_orderstatus") == "P", {"o_orderstatus": F.lit("O")})
+    return stored.read()
 
 
 @query("snk_delete", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def snk_delete(spark, d):
-    """Results that are left once finished tasks are deleted."""
+    """A stored table of results once those of finished tasks are deleted."""
     gone = _orders(spark, d).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return O.delete(T.table(spark, d, "lineitem"), gone, "l_orderkey").select("l_orderkey", "l_linenumber")
+    stored = _keyed(spark, T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
+    stored.delete(gone)
+    return stored.read()
 
 
 @query("snk_upsert", "WITH n AS (SELECT p_partkey + 1000 AS p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'new ' || p_name END AS p_name, p_size FROM part WHERE p_partkey % 3 = 0) SELECT coalesce(n.p_partkey, p.p_partkey) AS p_partkey, coalesce(n.p_name, p.p_name) AS p_name, p_brand, coalesce(n.p_size, p.p_size) AS p_size FROM part p FULL OUTER JOIN n ON p.p_partkey = n.p_partkey")
 def snk_upsert(spark, d):
+    """A stored table after new rows have been merged into it."""
     p = T.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     new = p.where("p_partkey % 3 = 0").select((F.col("p_partkey") + 1000).alias("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("new "), "p_name")).alias("p_name"), "p_size")
-    return O.upsert(p, new, "p_partkey")
+    stored = _keyed(spark, p, "p_partkey")
+    stored.upsert(new)
+    return stored.read()
 
 
 @query("st_rulecache", f"WITH r AS ({T.RULES}) SELECT rule_id, domain FROM r WHERE domain <> 'ebay.com' UNION ALL SELECT 'n1', 'ebay.com'")
