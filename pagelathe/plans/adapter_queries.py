@@ -15,7 +15,7 @@ from pagelathe.plans.fold_queries import LOOP
 from pagelathe.plans.registry import query
 from pagelathe.sources import blobs, messages
 from pagelathe.sources import tables as T
-from pagelathe.streaming.sources import run_available, shared_dir
+from pagelathe.streaming.sources import new_folder, run_available, shared_dir
 
 
 def _path(spark, name: str) -> str:
@@ -52,20 +52,25 @@ def snk_mongo_insert(spark, d):
 
 @query("snk_kafka", """SELECT CASE WHEN o_orderpriority < '2' THEN 'high' WHEN o_orderpriority < '4' THEN 'normal' ELSE 'low' END AS topic, '{"task_id":"' || o_orderkey || '","url":"https://x.example/' || o_orderkey || '"}' AS value FROM orders""")
 def snk_kafka(spark, d):
-    """Messages published to where the configuration says, here a folder for each topic."""
+    """Messages published to where the configuration says, here a topic log."""
     path = _path(spark, "topics")
-    messages.publish(_tasks(spark, d).select("task_id", "topic", messages.serialize("task_id", "url").alias("value")), {"path": path})
-    return spark.read.schema("value string, topic string").text(path).select("topic", "value")
+    messages.publish(_tasks(spark, d).select("task_id", "topic", messages.serialize("task_id", "url").alias("value")), {"log": path})
+    return spark.read.format("topic_log").option("path", path).load().select("topic", "value")
 
 
 @query("src_kafka", _TASKS)
 def src_kafka(spark, d):
-    """Messages of all topics as one stream; broken ones are skipped."""
-    path, t = _path(spark, "topics"), _tasks(spark, d)
+    """Messages of all topics of a log as one stream in micro-batches of bounded size, stopped and taken up again after more
+    messages have come; broken ones are skipped."""
+    base, t = new_folder(spark), _tasks(spark, d)
     wire = t.select("task_id", "topic", messages.serialize("task_id", "url").alias("value"))
     broken = wire.limit(5).select("task_id", "topic", F.lit("{broken").alias("value"))
-    messages.publish(wire.unionByName(broken), {"path": path})
-    return run_available(messages.source(spark, {"path": path})).select("task_id", "url")
+    early = F.col("task_id").cast("long") % 2 == 0
+    conf = {"log": f"{base}/log", "max_poll": str(t.count() // 3 + 1)}
+    for part in (wire.where(early).unionByName(broken), wire.where(~early)):
+        messages.publish(part, conf)
+        out = run_available(messages.source(spark, conf), base=base, poll="0 seconds")
+    return out.select("task_id", "url")
 
 
 @query("src_s3_html", "SELECT page_id, html FROM pages")

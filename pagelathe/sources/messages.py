@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelathe.sources import topic_log
+
 TASK = "message_id string, task_id string, url string, domain string, priority int, engine_hint string, retry_count int, max_retries int"
 RESULT = "task_id string, url string, status_code int, response_time_ms double, engine_used string, error_message string"
 PAYLOAD = "task_id string, s3_bucket string, s3_raw_html_key string, s3_screenshot_key string, extraction_rules array<string>, callback_topic string"
@@ -79,9 +81,16 @@ def kafka_sink(messages: DataFrame, servers: str, checkpoint: str | None = None,
 
 
 def source(spark: SparkSession, conf: dict[str, str], schema: str = TASK) -> DataFrame:
-    """The stream that a configuration names: Kafka where it has servers, else folders under path."""
+    """The stream that a configuration names: Kafka where it has servers, a topic log where it has log, else folders under path.
+
+    max_poll bounds what a micro-batch takes, group tells whose offsets are committed to a topic log.
+    """
     if conf.get("servers"):
         return kafka_source(spark, conf["servers"], schema=schema, offsets=int(conf.get("max_poll", 500)))
+    if conf.get("log"):
+        topic_log.register(spark)
+        options = {"path": conf["log"], "topics": ",".join(TOPICS), "max_poll": conf.get("max_poll", "0"), "group": conf.get("group", "default")}
+        return good(spark.readStream.format("topic_log").options(**options).load(), schema)
     return stream_topics(spark, conf["path"], schema, files=int(conf.get("max_poll", 500)))
 
 
@@ -89,5 +98,8 @@ def publish(messages: DataFrame, conf: dict[str, str], key: str = "task_id") ->
     """Messages with columns key, topic and value to where source() reads them."""
     if conf.get("servers"):
         kafka_sink(kafka_rows(messages, key), conf["servers"])
+    elif conf.get("log"):
+        topic_log.register(messages.sparkSession)
+        kafka_rows(messages, key).write.format("topic_log").option("path", conf["log"]).mode("append").save()
     else:
         messages.select("topic", "value").write.mode("append").partitionBy("topic").text(conf["path"])
