@@ -32,6 +32,22 @@ def last_n(df: DataFrame, n: int, by: str, *order: Column) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("nth") <= n)
 
 
+def seen_by_day(df: DataFrame, ts: str, value: str, bits: int = 14) -> DataFrame:
+    """(day, exact, sketch): distinct values of each day, counted and as a HyperLogLog sketch of 2 ** bits registers.
+
+    Sketches are merged without the values (seen_in), so days need not be read again; at 14 bits an estimate is off by about
+    0.6 %. Null values don't count; rows with a null time are a day of their own, null. Days shuffle one row a distinct value.
+    """
+    values = df.groupBy(F.to_date(ts).alias("day"), F.col(value).alias("v")).agg(F.lit(1).alias("one"))
+    return values.groupBy("day").agg(F.count("v").alias("exact"), F.hll_sketch_agg("v", bits).alias("sketch"))
+
+
+def seen_in(days: DataFrame, since: str, until: str) -> DataFrame:
+    """(estimate): distinct values from one day up to another, both included, from the sketches of seen_by_day()."""
+    own = days.where(F.col("day").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
+    return own.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("estimate"))
+
+
 def nearest_rank(sorted_values: Column, p: float) -> Column:
     """The value at 0-based place min(int(n * p), n - 1); 0 without values."""
     n = F.size(sorted_values)

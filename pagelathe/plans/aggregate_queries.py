@@ -69,6 +69,13 @@ def agg_dedup_count(spark, d):
     return T.urls(spark, d).agg(F.count_distinct("url").alias("urls"), F.count_distinct(U.domain(F.col("url"))).alias("domains"))
 
 
+@query("agg_dedup_days", f"WITH {_L} SELECT CAST(ts AS DATE) AS day, count(DISTINCT domain || '/' || user_id) AS urls FROM f GROUP BY 1")
+def agg_dedup_days(spark, d):
+    """Distinct URLs of each day, exactly; seen_by_day() keeps a sketch beside the count, from which any span is estimated."""
+    log = T.fetch_log(spark, d).select("ts", F.concat("domain", F.lit("/"), F.col("user_id").cast("string")).alias("url"))
+    return A.seen_by_day(log, "ts", "url").select("day", F.col("exact").alias("urls"))
+
+
 @query("agg_rules", f"WITH r AS ({T.RULES}) SELECT domain, count(DISTINCT path_pattern) AS patterns, count(*) AS total_rules FROM r GROUP BY domain")
 def agg_rules(spark, d):
     return T.rules(spark, d).groupBy("domain").agg(F.count_distinct("path_pattern").alias("patterns"), F.count("*").alias("total_rules"))
@@ -149,9 +156,11 @@ def agg_bandit(spark, d):
     return _arms(spark, d).agg(F.count("*").alias("arms"), F.sum("trials").alias("trials"), F.sum("ban_hits").alias("bans"), F.count_if(F.col("ban_rate") < 0.5).alias("active"), F.round(F.max("estimate"), 6).alias("best_reward"))
 
 
-@query("argmax_arm", f"WITH {_ARMS} SELECT arg_max(proxy_id, estimate) AS proxy_id FROM b WHERE ban_rate < 0.5")
+@query("argmax_arm", f"WITH {_ARMS} SELECT arg_min(proxy_id, (-round(estimate, 9), proxy_id)) AS proxy_id FROM b WHERE ban_rate < 0.5")
 def argmax_arm(spark, d):
-    return _arms(spark, d).where("ban_rate < 0.5").agg(F.max_by("proxy_id", "estimate").alias("proxy_id"))
+    """The arm with the best estimate that is not banned; of those equal in nine digits the one with the smallest id."""
+    rank = F.struct((-F.round("estimate", 9)).alias("x"), "proxy_id")
+    return _arms(spark, d).where("ban_rate < 0.5").agg(F.min_by("proxy_id", rank).alias("proxy_id"))
 
 
 @query("sm_ucb", f"WITH {_ARMS}, t AS (SELECT sum(trials) + 1 AS total FROM b) SELECT proxy_id, round(estimate + 2.0 * sqrt(ln(total) / trials), 6) AS ucb FROM b, t WHERE ban_rate < 0.5")
@@ -216,7 +225,7 @@ def agg_queue(spark, d):
 @query("agg_dash", "SELECT count(*) AS total, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS success_pct, count(*) FILTER (o_orderstatus IN ('O', 'P')) AS active FROM orders")
 def agg_dash(spark, d):
     s = F.col("o_orderstatus")
-    return T.table(spark, d, "orders").agg(F.count("*").alias("total"), F.round(100.0 * F.count_if(s == "F") / F.count("*"), 1).alias("success_pct"), F.count_if(s.isin("O", "P")).alias("active"))
+    return T.table(spark, d, "orders").agg(F.count("*").alias("total"), F.round(F.try_divide(100.0 * F.count_if(s == "F"), F.count("*")), 1).alias("success_pct"), F.count_if(s.isin("O", "P")).alias("active"))
 
 
 @query("agg_proxy_health", f"WITH {_L}, g AS (SELECT proxy_id, CASE WHEN status_code BETWEEN 200 AND 299 THEN 1 ELSE 0 END AS ok FROM f) SELECT proxy_id, CAST(sum(ok) AS BIGINT) AS healthy, CAST(count(*) - sum(ok) AS BIGINT) AS unhealthy FROM g GROUP BY proxy_id")

@@ -258,10 +258,10 @@ def st_wait(spark, d):
     return waits.select("event_id", F.floor(F.col("v") / 1_000_000).cast("long").alias("wait_s"), F.col("v").isNotNull().alias("admitted"))
 
 
-@query("st_cookie", f"WITH {_L} SELECT domain, arg_max('sid=' || CAST(event_id AS STRING), event_id) AS cookies FROM f WHERE status_code = 200 AND ts > (SELECT max(ts) FROM f) - INTERVAL 30 DAY GROUP BY domain")
+@query("st_cookie", f"WITH {_L} SELECT domain, arg_max('sid=' || CAST(event_id AS STRING), (ts, event_id)) AS cookies FROM f WHERE status_code = 200 AND ts > (SELECT max(ts) FROM f) - INTERVAL 30 DAY GROUP BY domain")
 def st_cookie(spark, d):
-    """The last stored header of each domain that is still valid."""
+    """The last stored header of each domain that is still valid; of those stored at one time that of the later event."""
     log = T.fetch_log(spark, d).where("status_code = 200")
     now = T.fetch_log(spark, d).agg(F.max("ts").alias("now"))
     live = log.join(F.broadcast(now)).where(F.col("ts") > F.col("now") - F.expr("INTERVAL 30 DAY"))
-    return live.groupBy("domain").agg(F.max_by(F.concat(F.lit("sid="), F.col("event_id").cast("string")), "event_id").alias("cookies"))
+    return live.groupBy("domain").agg(F.max_by(F.concat(F.lit("sid="), F.col("event_id").cast("string")), F.struct("ts", "event_id")).alias("cookies"))

@@ -185,3 +185,22 @@ def ss_dlq(spark, d):
 
 for _stream, _batch in (("ss_rate", "st_token"), ("ss_breaker", "st_breaker")):
     ORACLES[_stream] = ORACLES[_batch]
+
+
+@query("ss_metrics", f"WITH {_L} SELECT unnest(['input_rows', 'rows', 'failed', 'blocked']) AS name, unnest([count(*), count(*), count(*) FILTER (status_code >= 400), count(*) FILTER (status_code IN (403, 429))])::DOUBLE AS value FROM f")
+def ss_metrics(spark, d):
+    """Totals of what the micro-batches of a running stream have observed and reported, read from the table of their progress."""
+    from pagelathe.streaming.metrics import ProgressTable, observed
+
+    base = new_folder(spark)
+    progress = ProgressTable(spark, f"{base}/progress")
+    spark.streams.addListener(progress)
+    try:
+        status = F.col("status_code")
+        seen = observed(_log(spark, d), "fetches", rows=F.count("*"), failed=F.count_if(status >= 400), blocked=F.count_if(status.isin(403, 429)))
+        run = seen.writeStream.format("noop").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+        table = progress.table(str(run.runId))
+    finally:
+        spark.streams.removeListener(progress)
+    return table.where("name <> 'batch_ms'").groupBy("name").agg(F.sum("value").alias("value"))
