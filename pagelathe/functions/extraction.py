@@ -75,9 +75,20 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(LINK), F.lit(1))
 
 
-def _text(node: Column, *paths: str) -> Column:
-    """The first of some JSON paths of a variant that holds a scalar, as string."""
-    return F.coalesce(*(F.nullif(F.try_variant_get(node, p, "string"), F.lit("")) for p in paths))
+# The members of a node, of an offer and of a rating that fields are read from.
+_NODE = ["@type", "name", "description", "sku", "brand", "image", "category", "gtin12", "upc", "gtin13", "ean", "aggregateRating", "offers", "price", "priceCurrency", "availability", "priceValidUntil"]
+_OFFER = ["price", "priceCurrency", "availability", "priceValidUntil"]
+_RATING = ["ratingValue", "reviewCount"]
+
+
+def _members(value: Column, names: list[str], path: str = "$") -> Column:
+    """An object's members as a struct of variants, by one cast; null for anything else."""
+    return F.try_variant_get(value, path, "struct<" + ", ".join(f"`{n}`: variant" for n in names) + ">")
+
+
+def _text(*found: tuple[Column, str]) -> Column:
+    """The first of some places in small variants that holds a scalar, as string."""
+    return F.coalesce(*(F.nullif(F.try_variant_get(v, path, "string"), F.lit("")) for v, path in found))
 
 
 def node_type(node: Column) -> Column:
@@ -92,35 +103,44 @@ def nodes(html: Column) -> Column:
     return F.flatten(F.transform(parsed, lambda v: F.coalesce(graph(v), F.array(v))))
 
 
-def node_fields(node: Column, kind: Column) -> Column:
-    """Fields of one node of a type in order: array of (name, value); values that are null or empty are left out."""
-    pair = lambda name, *paths: F.struct(F.lit(name).alias("name"), _text(node, *paths).alias("value"))
+def _typed(all_: Column) -> Column:
+    """Nodes as (node, kind, offer, rating): the members of each as a struct, its type, of a list the first, and the members of
+    its offer, of a list the first, and of its rating."""
+    cast = F.transform(all_, lambda n: F.struct(_members(n, _NODE).alias("node")))
+    kind = lambda n: F.coalesce(F.try_variant_get(n["@type"], "$[0]", "string"), F.try_variant_get(n["@type"], "$", "string"))
+    offer = lambda n: F.coalesce(_members(n["offers"], _OFFER), _members(n["offers"], _OFFER, "$[0]"))
+    return F.transform(cast, lambda x: F.struct(x["node"].alias("node"), kind(x["node"]).alias("kind"), offer(x["node"]).alias("offer"), _members(x["node"]["aggregateRating"], _RATING).alias("rating")))
+
+
+def node_fields(x: Column) -> Column:
+    """Fields of a node (see _typed) in order: array of (name, value); values that are null or empty are left out."""
+    node, kind = x["node"], x["kind"]
+    pair = lambda name, *found: F.struct(F.lit(name).alias("name"), _text(*found).alias("value"))
     present = lambda *pairs: F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
+    named = lambda v: [(v, "$.name"), (v, "$[0].name")]
 
-    def offer(root: str) -> list[Column]:
+    def offer(o: Column) -> list[Column]:
         return [
-            pair("price", f"{root}price"),
-            pair("currency", f"{root}priceCurrency"),
-            pair("availability", f"{root}availability.name", f"{root}availability"),
-            pair("price_valid_until", f"{root}priceValidUntil"),
+            pair("price", (o["price"], "$")),
+            pair("currency", (o["priceCurrency"], "$")),
+            pair("availability", (o["availability"], "$.name"), (o["availability"], "$")),
+            pair("price_valid_until", (o["priceValidUntil"], "$")),
         ]
 
     product = [
-        pair("title", "$.name"),
-        pair("description", "$.description"),
-        pair("sku", "$.sku"),
-        pair("brand", "$.brand.name", "$.brand[0].name"),
-        pair("image", "$.image[0].url", "$.image[0]", "$.image"),
-        pair("category", "$.category.name", "$.category[0].name", "$.category"),
-        pair("upc", "$.gtin12", "$.upc"),
-        pair("ean", "$.gtin13", "$.ean"),
-        pair("rating_value", "$.aggregateRating.ratingValue"),
-        pair("review_count", "$.aggregateRating.reviewCount"),
+        pair("title", (node["name"], "$")),
+        pair("description", (node["description"], "$")),
+        pair("sku", (node["sku"], "$")),
+        pair("brand", *named(node["brand"])),
+        pair("image", (node["image"], "$[0].url"), (node["image"], "$[0]"), (node["image"], "$")),
+        pair("category", *named(node["category"]), (node["category"], "$")),
+        pair("upc", (node["gtin12"], "$"), (node["upc"], "$")),
+        pair("ean", (node["gtin13"], "$"), (node["ean"], "$")),
+        pair("rating_value", (x["rating"]["ratingValue"], "$")),
+        pair("review_count", (x["rating"]["reviewCount"], "$")),
     ]
-    offers = F.try_variant_get(node, "$.offers", "variant").isNotNull()
     none = F.array().cast("array<struct<name:string,value:string>>")
-    sold = F.when(offers, present(*offer("$.offers."), *offer("$.offers[0]."))).otherwise(none)
-    return F.when(kind.isin(PRODUCT_TYPES), F.concat(present(*product), sold)).when(kind.isin(OFFER_TYPES), present(*offer("$."))).when(kind.isin(ORGANIZATION_TYPES), present(pair("brand", "$.name"))).otherwise(none)
+    return F.when(kind.isin(PRODUCT_TYPES), present(*product, *offer(x["offer"]))).when(kind.isin(OFFER_TYPES), present(*offer(node))).when(kind.isin(ORGANIZATION_TYPES), present(pair("brand", (node["name"], "$")))).otherwise(none)
 
 
 def first_wins(pairs: Column) -> Column:
@@ -131,8 +151,7 @@ def first_wins(pairs: Column) -> Column:
 
 def json_ld_fields(html: Column) -> Column:
     """The first value of each field over all nodes of a page, as a map."""
-    typed = F.transform(nodes(html), lambda n: F.struct(n.alias("node"), node_type(n).alias("kind")))
-    return first_wins(F.flatten(F.transform(typed, lambda x: node_fields(x["node"], x["kind"]))))
+    return first_wins(F.flatten(F.transform(_typed(nodes(html)), node_fields)))
 
 
 def heuristic_fields(text: Column) -> Column:

@@ -167,3 +167,26 @@ def test_table_functions(spark):
     rows = spark.sql("SELECT page_id, f.name, f.value FROM udtf_pages, LATERAL extract_fields(html, 'u') f").collect()
     assert {r.page_id for r in rows} == {1} and ("title", "Title & bold") in {(r.name, r.value) for r in rows}
     assert [(r.position, r.href) for r in spark.sql("SELECT l.* FROM udtf_pages, LATERAL html_links(html) l").collect()] == [(0, "/x")]
+
+
+def test_a_node_is_cast_once(spark):
+    """Objects, lists, scalars and nulls where a node's members are expected; the plan casts a node's members once."""
+    from pagelathe.functions import extraction as X
+
+    def page(*blocks):
+        return "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks)
+
+    rows = [
+        page('{"@type":["Product","X"],"name":"n","brand":[{"name":"b"}],"image":{"url":"u"},"category":{"name":"c"},"offers":[{"price":1.5,"availability":{"name":"in"}}],"aggregateRating":{"ratingValue":4}}'),
+        page('{"@type":"Product","name":null,"brand":"plain","image":[{"url":"u1"},"u2"],"category":"c","offers":{"price":"2","priceCurrency":"EUR","priceValidUntil":"x"},"gtin13":"e"}', '{"@type":"Product","name":"late","upc":"p"}'),
+        page('{"@type":"Offer","price":3,"availability":"s"}', '[1, 2]', '"text"', "null", "{", '{"@graph":[{"@type":"Brand","name":"g"},{"@type":"Other","name":"no"}]}'),
+        page('{"@type":"Product","offers":[],"aggregateRating":[],"brand":{},"image":[]}'),
+        "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, html string").select("id", X.json_ld_fields(F.col("html")).alias("f"))
+    got = {r.id: r.f for r in df.collect()}
+    assert got[0] == {"title": "n", "brand": "b", "image": '{"url":"u"}', "category": "c", "rating_value": "4", "price": "1.5", "availability": "in"}
+    assert got[1] == {"image": "u1", "category": "c", "price": "2", "currency": "EUR", "price_valid_until": "x", "ean": "e", "title": "late", "upc": "p"}
+    assert got[2] == {"price": "3", "availability": "s", "brand": "g"} and not got[4] and not got[5]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("@type") <= 4
