@@ -355,3 +355,26 @@ def st_retry(spark, d):
     key = F.struct((~F.col("stop")).alias("no"), F.when(F.col("stop"), F.col("attempt")).otherwise(-F.col("attempt")).alias("at"))
     best = a.groupBy("request").agg(F.min_by(F.struct("attempt", "status_code"), key).alias("x"))
     return best.select("request", F.col("x.attempt").cast("long").alias("retry_count"), F.col("x.status_code").alias("status_code"), (F.pow(F.lit(2), "x.attempt") - 1).cast("long").alias("nominal_wait_s"))
+
+
+@query(
+    "mw_chain",
+    f"""WITH {_L}, a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, (status_code BETWEEN 200 AND 299) OR ({BLOCKED} AND challenge_type = '') AS stop FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN stop THEN n ELSE 7 - n END) AS best FROM a WHERE n <= 3)
+SELECT user_id AS request, n AS retry_count, status_code, round(latency_ms, 3) AS total_ms,
+  CASE WHEN k % 3 = 0 THEN 'Accept=*/*;' ELSE '' END || 'Accept-Language=' || CASE WHEN engine = 'http' THEN 'de-DE,de' ELSE 'fr-FR,fr' END || ';q=0.9' || CASE WHEN engine <> 'nodriver' THEN ';User-Agent=agent/' || proxy_id WHEN k % 3 = 0 THEN ';User-Agent=own' ELSE '' END AS headers,
+  'lang=x;sid=' || CASE WHEN k % 2 = 0 THEN 'own' ELSE domain END AS cookies FROM b WHERE best = 1""",
+)
+def mw_chain(spark, d):
+    """Requests through the default chain and cached cookies: retries, timing, the identity's headers."""
+    from pagelathe.operators.chain import Chain, cookies
+
+    text = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
+    k, engine = F.col("k"), F.col("engine")
+    log = T.fetch_log(spark, d)
+    ended = F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("latency_ms") * 1000).cast("long"))
+    requests = log.withColumns({"request": F.col("user_id"), "started": F.col("ts"), "ended": ended, "total_ms": F.when(F.col("event_id") % 3 != 0, F.col("latency_ms")), "headers": F.when(k % 3 == 0, text("Accept", "*/*", "User-Agent", "own")), "cookies": F.when(k % 2 == 0, text("sid", "own"))})
+    identity = (F.when(engine != "nodriver", F.concat(F.lit("agent/"), "proxy_id")), F.when(engine == "http", "de-DE").otherwise("fr-FR"))
+    done = Chain.default(identity).add(cookies(text("sid", F.col("domain"), "lang", "x")))(requests)
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias(c)
+    return done.select("request", F.col("retry_count").cast("long").alias("retry_count"), "status_code", F.round("total_ms", 3).alias("total_ms"), shown("headers"), shown("cookies"))
