@@ -32,7 +32,7 @@ State = tuple
 Columns = list[np.ndarray]
 
 #: A key with more rows is folded in parts of about so many rows; a digest is passed on in pieces of so many.
-CHUNK_ROWS, PIECE_ROWS = 1_000_000, 8192
+CHUNK_ROWS, PIECE_ROWS = 1_000_000, 1024
 
 
 class Fold(NamedTuple):
