@@ -15,7 +15,10 @@ from pagelathe.functions import extraction as X
 from pagelathe.functions import urls as U
 from pagelathe.operators.model_tiers import heal_rules
 from pagelathe.operators.selectors import RULES, host_of, selected
+from pagelathe.sources.stored import stored
 
+#: Kinds of page are broadcast only up to so many; beyond, both sides of their join are shuffled.
+BROADCAST_KINDS = 200_000
 #: A source is asked only while fewer distinct fields than this have been found.
 ENOUGH = 4
 _FIELD = "array<struct<name:string,value:string,confidence:double>>"
@@ -84,13 +87,18 @@ def extract_and_heal(pages: DataFrame, cache: DataFrame, now: Column, model: Cal
     model maps the beginning of a page to rules of type selectors.RULES. It is asked once for each kind of page that has
     missing fields and no live entry; its answer, if it holds a rule, is to be cached for ttl. Then the selectors run again
     on the pages of that kind with missing fields, and only on those. Kinds whose answer is empty are asked again next time.
+
+    The first extraction is written once, with the page only where healing may read it, and the answers are written too; kinds
+    are few and many pages share one, so pages are not shuffled by kind unless there are more than BROADCAST_KINDS.
     """
     known = with_rules(pages.withColumns({"__h": F.col(html_col), "__u": F.col(url_col)}), cache, now, url_col)
     first = extract(known, id_col, html_col, url_col, rules=F.col("__known"), keep=["__h", "__u", "__domain", "__pattern", "__known"])
-    lacking = first.where((F.size("missing") > 0) & F.col("__known").isNull())
-    fresh = heal_rules(lacking, cache.where(F.col("expires_at") > now), model, "__u", "__h").where(F.size("rules") > 0)
+    may = (F.size("missing") > 0) & F.col("__known").isNull()
+    first = stored(first.withColumn("__may", may).withColumn("__h", F.when(F.col("__may"), F.col("__h"))).drop("__known"), "first")
+    fresh = stored(heal_rules(first.where("__may"), cache.where(F.col("expires_at") > now), model, "__u", "__h").where(F.size("rules") > 0), "healed")
     added = fresh.withColumn("expires_at", now + F.expr(ttl))
-    again = first.join(fresh.select(F.col("domain").alias("__domain"), F.col("path_pattern").alias("__pattern"), F.col("rules").alias("__healed")), ["__domain", "__pattern"], "left")
+    healed = fresh.select(F.col("domain").alias("__domain"), F.col("path_pattern").alias("__pattern"), F.col("rules").alias("__healed"))
+    again = first.join(F.broadcast(healed) if fresh.count() <= BROADCAST_KINDS else healed, ["__domain", "__pattern"], "left")
     ask = F.when((F.size("missing") > 0) & F.col("__healed").isNotNull(), F.col("__h"))
     again = again.withColumn("__more", selected(ask, host_of(F.col("__u")), F.col("__healed")))
     entries = F.transform(F.map_entries("fields"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"), F.lit(0.0).alias("confidence")))

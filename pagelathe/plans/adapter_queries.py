@@ -17,6 +17,9 @@ from pagelathe.sources import blobs, messages
 from pagelathe.sources import tables as T
 from pagelathe.streaming.sources import new_folder, run_available, shared_dir
 
+#: Rows of a narrow table that a task makes pages of and parses.
+PARSED = 10_000
+
 
 def _path(spark, name: str) -> str:
     return f"{shared_dir(spark)}/pagelathe/{name}-{uuid.uuid4().hex}"
@@ -108,7 +111,7 @@ def ex_llm_heal(spark, d):
     heading as brand. The rules go to the cache, with the domain they are for."""
     rule = F.struct(F.lit("brand").alias("field"), F.lit("css").alias("kind"), F.lit("h1").alias("selector"), F.lit(None).cast("string").alias("attribute"))
     model = lambda html: F.when(F.contains(html, F.lit("<h1>")), F.array(rule)).otherwise(F.array().cast(RULES))
-    pages = T.product_pages(spark, d)
+    pages = T.product_pages(spark, d, rows=PARSED)
     cache = spark.createDataFrame([], f"domain string, path_pattern string, rules {RULES}, expires_at timestamp")
     found, added = extract_and_heal(pages, cache, F.lit("2024-01-01").cast("timestamp"), model, "page_id")
     rules = added.select("domain", F.concat_ws(":", "domain", F.col("rules")[0]["selector"]).alias("rule"))

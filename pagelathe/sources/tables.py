@@ -78,14 +78,21 @@ UNION ALL SELECT 'r8', 'example.com', '/login', 'title'
 """
 
 
-def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A relation of this module from the tables in sf_dir, by one of the SQL texts above."""
+def relation(spark: SparkSession, sf_dir: str, sql: str, rows: int | None = None) -> DataFrame:
+    """A relation of this module from the tables in sf_dir, by one of the SQL texts above.
+
+    With rows, tables are dealt out in parts of about so many rows before anything is computed from them: a narrow table of
+    millions of rows is one file of few row groups, and what is derived from a row may cost much more than reading it.
+    """
     names = ["events", "pages", "part", "nation", "orders", "lineitem", "supplier", "customer", "documents", "labels"]
     used = [n for n in names if f"FROM {n}" in sql]
     sql = sql.replace("{", "{{").replace("}", "}}")
     for n in used:
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in used})
+    tables = {n: table(spark, sf_dir, n) for n in used}
+    if rows:
+        tables = {n: t.repartition(max(1, -(-t.count() // rows))) for n, t in tables.items()}
+    return spark.sql(sql, **tables)
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +103,8 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation(spark, sf_dir, URLS)
 
 
-def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, PRODUCT_PAGES)
+def product_pages(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    return relation(spark, sf_dir, PRODUCT_PAGES, rows)
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,26 @@ def test_healing_uses_the_cache(spark):
     assert [(r.domain, r.path_pattern, r.rules[0].selector, str(r.expires_at)) for r in added.collect()] == [("b.x", "/p/{id}", "b", "2024-01-02 00:00:00")]
 
 
+def test_healing_extracts_once_and_moves_no_page_by_kind(spark):
+    """No page is parsed for the first extraction in the returned plans, no page is shuffled by its kind, and a narrow table is
+    dealt out before pages are made of it. Null and repeated ids, URLs and pages keep their rows."""
+    from pagelathe.plans import adapter_queries as Q
+    from pagelathe.sources import tables as T
+
+    rows = [(1, "https://a.x/p/2", "<b>one</b>"), (1, "https://a.x/p/1", "<b>two</b>"), (None, "https://a.x/p/1", "<b>two</b>"), (3, None, "<b>x</b>"), (4, "https://a.x/p/1", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    cache = spark.createDataFrame([], f"domain string, path_pattern string, rules {S.RULES}, expires_at timestamp")
+    rule = F.struct(F.lit("brand").alias("field"), F.lit("css").alias("kind"), F.lit("b").alias("selector"), F.lit(None).cast("string").alias("attribute"))
+    model = lambda html: F.when(F.contains(html, F.lit("<b>")), F.array(rule)).otherwise(F.array().cast(S.RULES))
+    found, added = extract_and_heal(pages, cache, F.lit("2024-01-01").cast("timestamp"), model, "page_id")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(found).count("ArrowEvalPython") == 1 and "SortMergeJoin" not in plan(found) and "hashpartitioning" not in plan(found)
+    assert "Python" not in plan(added)
+    assert sorted(((r.page_id, r.fields.get("brand")) for r in found.collect()), key=str) == [(1, "one"), (1, "two"), (3, None), (4, None), (None, "two")]
+    assert [(r.domain, r.path_pattern) for r in added.collect()] == [("a.x", "/p/{id}")]
+    assert T.product_pages(spark, "/root/testdata/sf0.001", rows=50).rdd.getNumPartitions() == 4 and Q.PARSED <= 10_000
+
+
 def test_table_functions(spark):
     from pagelathe.functions import udtf
 
