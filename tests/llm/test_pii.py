@@ -373,3 +373,11 @@ def test_more_secrets(spark):
     assert re.fullmatch(r"Authorization: Bearer [a-z]{3}\d{3}[a-z]{3}\d{3}[a-z]{3}\d{3}[a-z]{3}\d{3}", out[0].text) and "abc123" not in out[0].text
     assert re.fullmatch(r"see https://[a-z]{4}:[a-z]{2}\d\d[a-z]{4}@host\.com/x", out[1].text) and "pa55" not in out[1].text and "user" not in out[1].text
     assert out[2].text == "a bearer of news"
+
+
+def test_no_match_is_passed_by(spark):
+    """Texts whose only match stands at a line's end or before a mark: what decides whether a text is searched holds for each."""
+    texts = ["Dear\nBob Stone", "dear\nBob Stone", "I am\nBob Stone", "I'm\nBob Stone", "Bob Stone was born.", "Bob Stone was born\nhere", "My name is\nBob Stone", "Bob Stone works"]
+    out = run(spark, texts)
+    assert [r.n_entities for _, r in sorted(out.items())] == [1] * len(texts)
+    assert not [r.text for r in out.values() if "Bob" in r.text or "Stone" in r.text]
