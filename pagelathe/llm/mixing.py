@@ -76,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     targets gives shares for categories of "source", "lang", "topic"; without them each marginal's shares follow its
     tokens to the power FLATTEN. A row is sampled when a hash of seed and id, taken as a number in [0, 1), lies below
     its cell's probability, so a rerun or a repeated row decides alike. Null categories form the category "(none)".
-    Without a topic, topics are learned from the texts (pagelathe.llm.topics).
+    Without a topic, topics are learned from all texts (pagelathe.llm.topics).
     Texts without words carry no tokens: probability 1. A null id is hashed as the seed alone. An empty table gives an
     empty result.
 
@@ -88,10 +88,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source:
     # the counter sees (struct of id and categories, text), so that no join by id is needed
     packed = rows.select(F.struct("id", *given).alias("row"), "text")
     if topic is None:
-        counted = topics.word_counts_and_topics(packed, topics.learn(docs, id_col, text_col), "row", "text").select("row.*", "n_tokens", "topic")
+        bags = topics.bagged(rows, F.struct("id", *given), "id", "text")
+        counted = written(topics.assigned(bags, topics.fit(bags)).select("row.*", "n_tokens", "topic"), "counted")
+        discard(bags)
     else:
-        counted = word_counts(packed, "row", "text").select("row.*", "n_tokens")
-    counted = written(counted, "counted")
+        counted = written(word_counts(packed, "row", "text").select("row.*", "n_tokens"), "counted")
     cells = written(counted.groupBy(*kinds).agg(F.sum("n_tokens").alias("tokens")), "cells")
     folded = [F.col(k).alias(f"{k}_cat") for k in kinds]
     cats = [f"{k}_cat" for k in kinds]

@@ -168,3 +168,19 @@ def test_topics_tell_vocabularies_apart(spark):
         assert near[int(got[i][1][6:])] > max(near) - 1e-4
     assert all(len(v) == 1 for v in kinds.values()) and len(kinds) >= 3
     assert tp.learn(df.limit(0)) is None and tp.topics_of(pa.array(["x", None]), None)[1] == [tp.NO_TOPIC] * 2
+
+
+def test_topics_are_fitted_on_all_texts(spark):
+    """Words count in every text, also in one of more than 20,000 characters and in more than 2,000 texts, and the model does not
+    depend on how rows are dealt out."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{r.randrange(99)}" for _ in range(8))) for i in range(2600)] + [(9001, "long " * 9000), (9002, None), (9003, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tp.learn(df.repartition(5), topics=6)
+    df_of = np.zeros(tp.HASHED)
+    for _, t in rows:
+        data = (t or "").encode()
+        df_of[np.unique(wd.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0] % np.uint64(tp.HASHED)).astype(int)] += 1
+    np.testing.assert_allclose(model.idf, np.log(2602 / (1 + df_of)) + 0.1, rtol=1e-5)
+    again = tp.learn(df.orderBy(F.desc("doc_id")).coalesce(1), topics=6)
+    assert np.array_equal(model.idf, again.idf) and np.array_equal(model.centers, again.centers)
