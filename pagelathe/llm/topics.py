@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,21 +51,22 @@ def bagged(docs: DataFrame, row: Column, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             at = 0
             for own, text, word, n in _bags(batch.column(2)):
-                ends = pa.array(np.searchsorted(text, np.arange(len(own) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (word.astype(np.int16), n.astype(np.int32))]
+                ends = np.searchsorted(text, np.arange(len(own) + 1))
+                # bytes, since rows of arrays are read number by number
+                lists = [pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (word.astype(np.int16), n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(own)) for i in (0, 1)), pa.array(own, pa.int64()), *lists], ["row", "h", "n_tokens", "words", "counts"])
                 at += len(own)
         pa.default_memory_pool().release_unused()
 
     kind = rows.schema["row"].dataType.simpleString()
-    return written(rows.mapInArrow(run, f"row {kind}, h long, n_tokens long, words array<smallint>, counts array<int>"), "topic-bags")
+    return written(rows.mapInArrow(run, f"row {kind}, h long, n_tokens long, words binary, counts binary"), "topic-bags")
 
 
 def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word, count) for each distinct hashed word of the bags in a batch."""
-    words, counts = batch.column("words"), batch.column("counts")
-    sizes = words.value_lengths().to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(sizes)), sizes), words.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy()
+    words, counts = (b"".join(batch.column(c).to_pylist()) for c in ("words", "counts"))
+    sizes = pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False) // 2
+    return np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(words, np.int16).astype(np.int64), np.frombuffer(counts, np.int32)
 
 
 def _scores(text: np.ndarray, word: np.ndarray, weight: np.ndarray, rows: int, centers: np.ndarray) -> np.ndarray:
@@ -139,12 +141,12 @@ def _least(rows: list[tuple], m: int) -> list[tuple]:
     return out
 
 
-RACE = "race double, h long, words array<smallint>, counts array<int>"
+RACE = "race double, h long, words binary, counts binary"
 
 
 def _races(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     if rows:
-        kinds = (pa.float64(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()))
+        kinds = (pa.float64(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["race", "h", "words", "counts"])
 
 
@@ -194,8 +196,8 @@ def fit(bags: DataFrame, topics: int = TOPICS) -> Topics | None:
         drawn = bags.mapInArrow(_draw(model, len(centers), m), RACE).repartition(1).mapInArrow(_merge(m), RACE).collect()
         new = np.zeros((len(drawn), HASHED))
         for x, r in zip(new, sorted(drawn, key=lambda r: (r.race, r.h)), strict=True):
-            word = np.array(r.words, dtype=np.int64)
-            x[word] = _unit(np.zeros(len(word), np.int64), word, np.array(r.counts), 1, idf)
+            word = np.frombuffer(r.words, np.int16).astype(np.int64)
+            x[word] = _unit(np.zeros(len(word), np.int64), word, np.frombuffer(r.counts, np.int32), 1, idf)
         centers = np.concatenate([centers, new])
         if len(drawn) < m:
             break

@@ -98,3 +98,11 @@ def test_run_and_names(spark):
 @pytest.mark.parametrize("k", range(5))
 def test_empty_input(spark, docs, k):
     assert cp.STAGES[k][1](spark, docs.limit(0), SF).collect() == []
+
+
+def test_mix_learns_from_every_text(spark, docs, monkeypatch):
+    """The stage's topics are fitted on a bag for each of its rows."""
+    seen, plain = [], topics.fit
+    monkeypatch.setattr(topics, "fit", lambda bags, *more: seen.append(bags.count()) or plain(bags, *more))
+    cp.mix_sources(spark, docs, SF)
+    assert seen == [docs.count()]
